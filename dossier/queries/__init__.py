@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("search",)
+_MODULES = ("search", "corpus", "texts", "selection", "citing")
 
 
 def _merged(name: str) -> dict:
