@@ -130,12 +130,15 @@ def bad_runs(effective: DataFrame, rules: DataFrame) -> DataFrame:
     font_bad = ~F.array_contains(_rule(rules, "font", "allowed"), F.col("font"))
     size_bad = ~F.array_contains(_rule(rules, "size", "allowed"), rounded)
     faults = F.array(
-        F.when(font_bad, F.struct(F.lit("font").alias("kind"), F.col("font").alias("found"))),
-        F.when(size_bad, F.struct(F.lit("size").alias("kind"), rounded.alias("found"))),
+        F.struct(F.lit("font").alias("kind"), F.when(F.col("_bad_font"), F.col("font")).alias("found")),
+        F.struct(F.lit("size").alias("kind"), F.when(F.col("_bad_size"), rounded).alias("found")),
     )
     return (
-        effective.select("doc_id", "para", "run", F.explode(F.filter(faults, F.isnotnull)).alias("f"))
+        effective.withColumns({"_bad_font": font_bad, "_bad_size": size_bad})
+        .where("_bad_font OR _bad_size")
+        .select("doc_id", "para", "run", F.explode(faults).alias("f"))
         .select("doc_id", "f.kind", "f.found", "para", "run")
+        .where(F.col("found").isNotNull())
     )
 
 
@@ -154,8 +157,8 @@ def repeated_issues(bad: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("_rn", "para"))).alias("_paras"))
     )
     shown = F.array_join(F.transform("_paras", lambda p: p["para"].cast("string")), ", ")
-    fonts = F.array_join(F.array_sort(_rule(rules, "font", "allowed")), ", ")
-    sizes = F.concat(F.array_join(F.array_sort(_rule(rules, "size", "allowed")), "/"), F.lit("pt"))
+    fonts = F.array_join(F.sort_array(_rule(rules, "font", "allowed")), ", ")
+    sizes = F.concat(F.array_join(F.sort_array(_rule(rules, "size", "allowed")), "/"), F.lit("pt"))
     is_font = F.col("kind") == "font"
     return counts.join(examples, keys).select(
         "doc_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("search", "corpus", "texts", "selection", "citing")
+_MODULES = ("search", "corpus", "texts", "selection", "citing", "figuring", "layouts")
 
 
 def _merged(name: str) -> dict:
