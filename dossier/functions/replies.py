@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.functions.text import strip
+from dossier.functions.text import bound, strip
 
 
 def _valid(c: Column) -> Column:
@@ -17,8 +17,10 @@ def reply_text(c: Column | str) -> Column:
     """The JSON text inside a reply: fences removed, else the widest braces or brackets, else null."""
     c = F.col(c) if isinstance(c, str) else c
     bare = strip(F.regexp_replace(strip(c), "(?m)^```(json)?|```$", ""))
-    widest = F.regexp_extract(bare, "(?s)\\{.*\\}|\\[.*\\]", 0)
-    return F.coalesce(_valid(bare), _valid(widest))
+    widest = "(?s)\\{.*\\}|\\[.*\\]"
+    return bound(
+        bare, lambda b: F.coalesce(_valid(b), bound(F.regexp_extract(b, widest, 0), _valid))
+    )
 
 
 def reply_object_text(c: Column | str) -> Column:
@@ -26,14 +28,15 @@ def reply_object_text(c: Column | str) -> Column:
 
     Null only where the reply holds no JSON at all.
     """
-    text = reply_text(c)
-    first = F.to_json(F.try_variant_get(F.try_parse_json(text), "$[0]", "variant"))
-    return (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(F.ltrim(text).startswith("{"), text)
-        .when(F.ltrim(text).startswith("[") & first.startswith("{"), first)
-        .otherwise(F.lit("{}"))
-    )
+    def as_object(text: Column) -> Column:
+        first = F.to_json(F.try_variant_get(F.try_parse_json(text), "$[0]", "variant"))
+        return (
+            F.when(text.isNull() | F.ltrim(text).startswith("{"), text)
+            .when(F.ltrim(text).startswith("["), bound(first, lambda f: F.when(f.startswith("{"), f).otherwise("{}")))
+            .otherwise(F.lit("{}"))
+        )
+
+    return bound(reply_text(c), as_object)
 
 
 def parse_reply(c: Column | str, schema: str | T.StructType) -> Column:

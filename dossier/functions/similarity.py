@@ -25,6 +25,18 @@ def trigrams(c: Column | str) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
+def trigram_codes(c: Column | str) -> Column:
+    """The same set with each trigram as one number made of its three code points."""
+
+    def point(g: Column, i: int) -> Column:
+        return F.ascii(F.substring(g, i, 1)).cast("bigint")
+
+    return F.transform(
+        trigrams(c),
+        lambda g: F.shiftleft(point(g, 1), 42) + F.shiftleft(point(g, 2), 21) + point(g, 3),
+    )
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over united trigrams of two trigram sets; 0 where both are empty."""
     shared = F.size(F.array_intersect(a, b))

@@ -15,6 +15,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` over ``value``, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Leading and trailing white space removed (Spark's ``trim`` removes blanks only)."""
     return F.regexp_replace(_col(c), f"(?U)^{_SPACE}+|{_SPACE}+\\z", "")

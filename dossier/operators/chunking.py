@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import constants as K
-from dossier.functions.text import is_blank, tail
+from dossier.functions.text import bound, is_blank, tail
 
 
 def _check(size: int, overlap: int) -> None:
@@ -34,11 +34,6 @@ def fixed_chunks(
     )
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` over ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _structural(text: Column, seps: Sequence[str], size: int, overlap: int) -> Column:
     if not seps:
         cut = _windows(text, size, overlap)
@@ -72,7 +67,7 @@ def _packed(text: Column, sep: str, finer: Sequence[str], size: int, overlap: in
         led = F.when(
             F.size(out) > 0, F.concat(tail(F.element_at(out, -1), overlap), piece)
         ).otherwise(piece)
-        return _bound(
+        return bound(
             led,
             lambda t: F.when(F.length(t) <= size, state(out, t)).otherwise(
                 state(F.concat(out, _structural(t, finer, size, overlap)), F.lit(""))
@@ -82,7 +77,7 @@ def _packed(text: Column, sep: str, finer: Sequence[str], size: int, overlap: in
     def step(acc: Column, piece: Column) -> Column:
         fits = F.length(acc["buf"]) + F.length(piece) <= size
         return F.when(fits, state(acc["out"], F.concat(acc["buf"], piece))).otherwise(
-            _bound(flushed(acc), lambda out: overflow(out, piece))
+            bound(flushed(acc), lambda out: overflow(out, piece))
         )
 
     return F.aggregate(pieces, empty, step, flushed)

@@ -1,8 +1,10 @@
 """Best fuzzy matches of many probe texts in a corpus of short texts, by trigram similarity.
 
-A similarity join over distinct texts with a prefix filter: two sets whose Jaccard value exceeds
-the threshold must share one of the first few trigrams of each under any common order. Common
-trigrams are put last in that order, so that they rarely become join keys.
+A similarity join over distinct texts with a prefix filter: two sets of sizes a and b whose Jaccard
+value exceeds t share at least o = t / (1 + t) * (a + b) trigrams, hence one of the first
+a - o + 1 of the one and b - o + 1 of the other under any common order. Common trigrams are put
+last in that order, and the size of the other set is part of the join key, so that a trigram which
+most texts hold is hardly ever a key that two sides share.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier import constants as K
-from dossier.functions.similarity import above, trigrams
+from dossier.functions.similarity import above, trigram_codes
 from dossier.session import cut_lineage
 
 # A trigram counts as common when it stands in more than one in COMMON_SHARE distinct texts. At
@@ -29,7 +31,7 @@ def _features(texts: DataFrame) -> DataFrame:
     return (
         texts.where(F.col("value").isNotNull())
         .distinct()
-        .select("value", trigrams("value").alias("grams"))
+        .select("value", trigram_codes("value").alias("grams"))
         .where(F.size("grams") > 0)
     )
 
@@ -64,28 +66,35 @@ def trigram_tables(probes: DataFrame, corpus: DataFrame) -> tuple[DataFrame, Dat
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``(left_value, right_value, similarity)`` of the tables above that exceed the threshold."""
     # Slightly below the threshold, so that rounding never loses a pair at the boundary.
-    bound = F.lit(threshold - 1e-6)
-
-    def side(features: DataFrame, name: str) -> DataFrame:
-        needed = F.ceil(F.size("grams") * bound).cast("int")
-        prefix = F.slice("grams", F.lit(1), F.size("grams") - needed + 1)
-        rows = features.select(
-            F.col("value").alias(f"{name}_value"), F.col("grams").alias(f"{name}_grams"),
-            prefix.alias(f"{name}_prefix"),
-        )
-        return rows.select("*", F.explode(f"{name}_prefix").alias("gram"))
+    t = threshold - 1e-6
+
+    def overlap(a: Column, b: Column) -> Column:
+        return F.ceil((a + b) * F.lit(t / (1 + t))).cast("int")
 
-    a, b = F.col("left_grams"), F.col("right_grams")
-    shared = F.size(F.array_intersect(a, b))
-    first_shared = F.element_at(F.array_intersect("left_prefix", "right_prefix"), 1)
-    longest, shortest = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
+    a, b = F.col("left_size"), F.col("right_size")
+    sized = left.select(
+        F.col("value").alias("left_value"), F.col("grams").alias("left_grams"),
+        F.size("grams").alias("left_size"),
+    )
+    sizes = F.sequence(F.ceil(a * F.lit(t)).cast("int"), F.floor(a / F.lit(t)).cast("int"))
+    probing = (
+        sized.select("*", F.explode(sizes).alias("right_size"))
+        .select("*", F.slice("left_grams", F.lit(1), a - overlap(a, b) + 1).alias("left_prefix"))
+        .select("*", F.explode("left_prefix").alias("gram"))
+    )
+    held = right.select(
+        F.col("value").alias("right_value"), F.col("grams").alias("right_grams"),
+        F.size("grams").alias("right_size"),
+    )
+    longest = b - F.ceil(b * F.lit(t)).cast("int") + 1
+    indexed = held.select("*", F.explode(F.slice("right_grams", F.lit(1), longest)).alias("gram"))
+    right_prefix = F.slice("right_grams", F.lit(1), b - overlap(a, b) + 1)
+    shared = F.size(F.array_intersect("left_grams", "right_grams"))
     return (
-        side(left, "left")
-        .join(side(right, "right"), "gram")
-        .where(shortest >= longest * bound)
+        probing.join(indexed, ["gram", "right_size"])
         # A pair meets once per shared prefix trigram; it is kept at the first of them only.
-        .where(F.col("gram") == first_shared)
-        .select("left_value", "right_value", (shared / (F.size(a) + F.size(b) - shared)).alias("similarity"))
+        .where(F.col("gram") == F.get(F.array_intersect("left_prefix", right_prefix), F.lit(0)))
+        .select("left_value", "right_value", (shared / (a + b - shared)).alias("similarity"))
         .where(above(F.col("similarity"), threshold))
     )
 

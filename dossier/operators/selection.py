@@ -12,7 +12,10 @@ from dossier.functions.text import file_kind, twin_key
 
 
 def _holds_any(name: Column, marks: tuple[str, ...]) -> Column:
-    return name.rlike("|".join(marks))
+    found = F.lit(False)
+    for mark in marks:
+        found = found | name.contains(mark)
+    return found
 
 
 def with_rules(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossier.operators.citations import extract_citations
 from dossier.operators.fuzzy import fuzzy_topk
 from dossier.plans.citations import check_citations, corpus_edges
-from dossier.queries.tables import table
+from dossier.queries.tables import spread, table
 
 
 def q_trigram_top3(spark, sf_dir):
@@ -48,7 +48,7 @@ SELECT probe, match_id, match, round(similarity, 6) AS similarity, CAST(match_ra
 
 def _citing(spark, sf_dir):
     """Every sentence of a document cites the number that is the document's length."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     citation = F.concat(
         F.lit("; căn CỨ Quyết định số "), F.col("n_chars").cast("string"), F.lit("/2020/QĐ-UBND ngày ")
     )

@@ -9,8 +9,7 @@ from dossier.operators import stats as S
 from dossier.operators.chunking import (
     chunk_counts, chunk_table, fixed_chunks, integrity, structural_chunks, with_payload,
 )
-from dossier.queries.tables import WINDOW_CHUNKS, table, window_chunks
-from dossier.session import fill_cores
+from dossier.queries.tables import WINDOW_CHUNKS, spread, table, window_chunks
 from dossier.sources.store import read_documents
 
 WITH_CHUNKS = "WITH " + WINDOW_CHUNKS + "\n"
@@ -33,7 +32,7 @@ def q_stats_grouped(spark, sf_dir):
 
 
 def q_top_tags(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     words = F.array_distinct(F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""))
     return S.top_tags(docs.select(words.alias("tags")), "tags")
 
@@ -81,7 +80,7 @@ def q_chunk_counts(spark, sf_dir):
 
 
 def q_chunk_structural(spark, sf_dir):
-    docs = fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     return chunk_table(docs, structural_chunks("text"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from dossier.operators import figures as G
 from dossier.plans.figures import aggregate_figures, keyword_hits
 from dossier.queries.search import _hybrid_cte, _rerank_cte
-from dossier.queries.tables import corpus, search_queries, table
+from dossier.queries.tables import corpus, search_queries, spread, table
 from dossier.queries.texts import sql_strip
 
 
 def _docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     return docs.select(
         "doc_id", "text", F.col("lang").alias("doc_type"), F.col("source").alias("doc_no"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")).alias("issued_on"),

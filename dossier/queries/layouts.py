@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import layout as L
 from dossier.plans.layout import check_layout
-from dossier.queries.tables import table
+from dossier.queries.tables import spread, table
 
 
 def _sections(spark, sf_dir):
@@ -41,7 +41,7 @@ WHERE NOT (cm BETWEEN low - 0.05::DOUBLE AND high + 0.05::DOUBLE)"""
 
 
 def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(spark, sf_dir, "lineitem", "l_suppkey").select(
         F.col("l_suppkey").alias("doc_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("para"),
         "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_tax", "l_linenumber",

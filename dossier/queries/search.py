@@ -10,7 +10,7 @@ from dossier.operators.fusion import context, rerank, rrf, sources
 from dossier.operators.sparse import sparse_topk, sparse_weights
 from dossier.plans.search import candidates, draft_check_context, hybrid_search
 from dossier.queries.tables import (
-    CORPUS, QUERIES_CTE, WINDOW_CHUNKS, corpus, search_queries, table, window_chunks,
+    CORPUS, QUERIES_CTE, WINDOW_CHUNKS, corpus, search_queries, spread, table, window_chunks,
 )
 
 FILTERS = ("doc_type", "direction")
@@ -94,7 +94,7 @@ SPARSE_SQL = (
 
 
 def q_sparse_weights(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
+    docs = spread(spark, sf_dir, "documents", "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return sparse_weights(docs).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
 
 

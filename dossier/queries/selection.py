@@ -10,16 +10,16 @@ from dossier.operators import dedupe as D
 from dossier.operators import selection as S
 from dossier.plans.ingest import ingest
 from dossier.plans.selection import fetch_plan
-from dossier.queries.tables import table
+from dossier.queries.tables import spread, table
 from dossier.queries.texts import sql_strip
-from dossier.session import fill_cores, scratch_path
+from dossier.session import scratch_path
 from dossier.sources.store import Store
 from dossier.streaming import ingest_landing
 
 
 def _files(spark, sf_dir):
     """Order lines as attachments of their order."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines, orders = spread(spark, sf_dir, "lineitem", "l_orderkey"), table(spark, sf_dir, "orders")
     number = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).otherwise(F.col("l_partkey"))
     name = F.concat(
         F.col("l_linenumber").cast("string"),
@@ -149,7 +149,7 @@ def q_insert_new(spark, sf_dir):
 
 
 def _landing_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     return docs.select(
         F.format_string("%s/%012d.txt", "source", "doc_id").alias("path"), "text",
         F.col("source").alias("side_doc_no"),
@@ -159,7 +159,7 @@ def _landing_rows(spark, sf_dir):
 def q_ingest_batch(spark, sf_dir):
     """One batch into an empty store, then the same rows again: nothing is added."""
     store = Store(spark, scratch_path(spark, "store"))
-    rows = fill_cores(_landing_rows(spark, sf_dir), "path")
+    rows = _landing_rows(spark, sf_dir)
     ingest(rows, store, "first")
     ingest(rows, store, "second")
     return store.documents().select("sha256", "file_path", "doc_no", F.length("full_text").alias("n_chars"), "batch_id")

@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.chunking import chunk_table, fixed_chunks
+from dossier.session import fill_cores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for costly row work, on all cores even when it is a single row group."""
+    return fill_cores(table(spark, sf_dir, name), key)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has a vector, as a chunk with its payload."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     vectors = table(spark, sf_dir, "embeddings")
     return docs.join(vectors, docs.doc_id == vectors.vec_id).select(
         F.col("doc_id").alias("chunk_id"),
@@ -53,7 +59,7 @@ QUERIES_CTE = """queries AS (
 
 
 def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     return chunk_table(docs, fixed_chunks("text"))
 
 

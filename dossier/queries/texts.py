@@ -12,7 +12,7 @@ from dossier.functions import (
 from dossier.functions.text import file_extension
 from dossier.operators import metadata as M
 from dossier.operators.assembly import assemble, choose_text
-from dossier.queries.tables import table
+from dossier.queries.tables import spread, table
 
 # White space as DuckDB's regular expressions need it spelled.
 WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -24,7 +24,7 @@ def sql_strip(x: str) -> str:
 
 def q_text_source_choice(spark, sf_dir):
     """Document text as native text, the page of the same number as recognised text."""
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    docs, pages = spread(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "pages")
     both = docs.join(pages, docs.doc_id == pages.page_id, "left").select(
         "doc_id", F.col("text").alias("native_text"), F.col("html").alias("ocr_text")
     )
@@ -66,14 +66,14 @@ REPLY = "k bigint, missing string"
 
 
 def q_json_fields(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
+    events = spread(spark, sf_dir, "events", "event_id")
     r = parse_reply("props", REPLY)
     return events.select("event_id", r["k"].alias("k"), r["missing"].alias("missing"))
 
 
 def q_json_repair(spark, sf_dir):
     """The same replies wrapped in fences, prose or a list, or broken, by event number."""
-    events = table(spark, sf_dir, "events")
+    events = spread(spark, sf_dir, "events", "event_id")
     form = F.col("event_id") % 5
     wrapped = (
         F.when(form == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
@@ -143,7 +143,7 @@ SELECT c.o_orderkey, c.doc_no, c.doc_type, t.type_code FROM chosen c JOIN types
 
 
 def q_array_clean(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     words = F.split("text", "[ \\n]", -1)
     return docs.select(
         "doc_id", M.clean_topics(words).alias("topics"), M.clean_list(words).alias("policies"),

@@ -59,7 +59,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table over all cores when its files split into fewer tasks than there are cores.
 
-    A table of many row groups keeps its own partitions and is not shuffled.
+    A table of many row groups keeps its own partitions and is not shuffled. Meant for a plain
+    scan: counting the partitions of a plan with joins would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -11,27 +11,28 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dossier import constants as K
 from dossier.operators.stats import newest
 
-DOCUMENT_SCHEMA = T.StructType.fromDDL(
+DOCUMENT_SCHEMA = (
     "doc_id string, doc_no string, issued_on date, doc_type string, type_code string,"
     " policies array<string>, fields array<string>, topics array<string>, direction string,"
     " issuer string, signer string, signer_title string, subject string, role string,"
     " file_name string, file_path string, full_text string, source_url string, sha256 string,"
     " extract_method string, n_chunks int, ingested_at timestamp, raw_meta string"
 )
-CHUNK_SCHEMA = T.StructType.fromDDL(
-    "chunk_id string, doc_id string, pos int, text string"
-)
-HISTORY_SCHEMA = T.StructType.fromDDL("doc_no string")
+CHUNK_SCHEMA = "chunk_id string, doc_id string, pos int, text string"
+HISTORY_SCHEMA = "doc_no string"
 READ_COLUMNS = ("doc_id", "doc_no", "issued_on", "doc_type", "issuer", "subject", "full_text")
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, partitions: str) -> DataFrame:
-    full = T.StructType(schema.fields + T.StructType.fromDDL(partitions).fields)
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _read(spark: SparkSession, path: str, schema: str, partitions: str) -> DataFrame:
+    full = f"{schema}, {partitions}"
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException as error:
@@ -68,11 +69,11 @@ class Store:
         )
 
     def write_documents(self, docs: DataFrame, batch_id: str) -> None:
-        names = DOCUMENT_SCHEMA.fieldNames()
+        names = _names(DOCUMENT_SCHEMA)
         _write(docs.select(*names, F.lit(batch_id).alias("batch_id")), f"{self.folder}/documents", ["batch_id"])
 
     def write_chunks(self, chunks: DataFrame, batch_id: str) -> None:
-        names = CHUNK_SCHEMA.fieldNames()
+        names = _names(CHUNK_SCHEMA)
         _write(
             chunks.select(*names, F.lit(batch_id).alias("batch_id"), "direction"),
             f"{self.folder}/chunks", ["batch_id", "direction"],
