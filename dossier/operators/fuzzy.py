@@ -23,7 +23,7 @@ COMMON_SHARE = 100
 
 # Thresholds tried before the asked one. A probe that has its full number of matches above a step
 # is finished there, because everything not yet seen is less similar.
-STEPS = (0.8, 0.6)
+STEPS = (0.8, 0.7, 0.6)
 
 
 def _features(texts: DataFrame) -> DataFrame:

@@ -21,6 +21,10 @@ def _files(spark, sf_dir):
     """Order lines as attachments of their order."""
     lines, orders = spread(spark, sf_dir, "lineitem", "l_orderkey"), table(spark, sf_dir, "orders")
     number = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).otherwise(F.col("l_partkey"))
+    ext = F.element_at(
+        F.array(*[F.lit(e) for e in ("pdf", "docx", "xlsx", "doc", "png")]),
+        (F.col("l_suppkey") % 5 + 1).cast("int"),
+    )
     name = F.concat(
         F.col("l_linenumber").cast("string"),
         F.lit("_"),
@@ -29,15 +33,14 @@ def _files(spark, sf_dir):
         number.cast("string"),
         F.when(F.col("l_linestatus") == "O", "_signed").otherwise(""),
         F.lit("."),
-        F.element_at(F.array(*[F.lit(e) for e in ("pdf", "docx", "xlsx", "doc", "png")]),
-                     (F.col("l_suppkey") % 5 + 1).cast("int")),
+        ext,
     )
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("/KH-UBND")).alias("doc_no"),
         F.when(F.col("o_orderstatus") == "F", K.OUTGOING).otherwise(K.INCOMING).alias("direction"),
         F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", name).alias("path"),
         name.alias("name"),
-        F.regexp_extract(name, "[.]([a-z]+)$", 1).alias("ext"),
+        ext.alias("ext"),
         F.col("l_quantity").cast("bigint").alias("size"),
     )
 
