@@ -65,7 +65,9 @@ def read_sidecars(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         .withColumn("direction", direction_of(F.col("direction")))
         .withColumn("path", F.regexp_replace("sidecar_path", "\\.meta\\.json\\z", ""))
     )
-    rejects = renamed.where(F.col("_corrupt").isNotNull()).select("sidecar_path")
+    # Spark refuses to scan JSON for the corrupt text alone, hence the second column.
+    bad = F.col("_corrupt").isNotNull() & F.coalesce("doc_no", "_corrupt").isNotNull()
+    rejects = renamed.where(bad).select("sidecar_path")
     return records, rejects
 
 

@@ -14,6 +14,7 @@ def spark():
     session = build_session(
         "local[8]", "tests", spark__driver__memory="6g", spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8", spark__ui__showConsoleProgress="false",
+        spark__sql__maxMetadataStringLength="2000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
