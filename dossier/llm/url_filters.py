@@ -86,21 +86,21 @@ def _resolve(base: Column, href: Column) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``from_url, to_url`` of every canonical link and refresh redirect found in the pages."""
     url, html = F.col(url_col).alias("from_url"), F.col(html_col)
-    tags = F.explode(F.regexp_extract_all(html, F.lit("(?i)<(?:link|meta)\\b[^>]*>"), F.lit(0))).alias("tag")
+    found = F.filter(F.regexp_extract_all(html, F.lit("(?i)<(?:link|meta)\\b[^>]*>"), F.lit(0)), lambda t: t.rlike("(?i)canonical|http-equiv"))
     tag = F.col("tag")
 
     def attribute(name: str) -> Column:
-        first = [F.nullif(F.regexp_extract(tag, f"(?is)\\b{name}\\s*=\\s*{form}", 1), F.lit("")) for form in ('"([^"]*)"', "'([^']*)'", "([^\"'\\s>]+)")]
-        return F.coalesce(*first, F.lit(""))
+        value = F.regexp_extract(tag, f"(?is)\\b{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\"'\\s>]+)", 1)
+        return F.regexp_replace(value, "^[\"']|[\"']$", "")
 
-    target = F.when(tag.rlike("(?i)^<link"), F.when(F.lower(attribute("rel")).rlike("(^|\\s)canonical(\\s|$)"), attribute("href"))).when(
-        F.lower(attribute("http-equiv")) == "refresh", F.regexp_extract(attribute("content"), "(?is)url\\s*=\\s*[\"']?([^\"'\\s]+)", 1),
+    tags = settle(pages.where(html.rlike("(?i)canonical|http-equiv")).select(url, F.explode(found).alias("tag")), "tags")
+    read = tags.select("from_url", *[attribute(name).alias(name[:4]) for name in ("rel", "href", "http-equiv", "content")])
+    target = F.when(F.lower("rel").rlike("(^|\\s)canonical(\\s|$)"), F.col("href")).when(
+        F.lower("http") == "refresh", F.regexp_extract("cont", "(?is)url\\s*=\\s*[\"']?([^\"'\\s]+)", 1),
     )
-    return (
-        pages.where(html.rlike("(?i)canonical|http-equiv")).select(url, tags)
-        .select("from_url", F.trim(F.replace(target, F.lit("&amp;"), F.lit("&"))).alias("href")).where("href IS NOT NULL")
-        .select("from_url", _resolve(F.col("from_url"), F.col("href")).alias("to_url"))
-        .where("from_url IS NOT NULL AND to_url IS NOT NULL")
+    hrefs = settle(read.select("from_url", F.trim(F.replace(target, F.lit("&amp;"), F.lit("&"))).alias("href")).where("href IS NOT NULL"), "hrefs")
+    return settle(hrefs.select("from_url", _resolve(F.col("from_url"), F.col("href")).alias("to_url")), "edges").where(
+        "from_url IS NOT NULL AND to_url IS NOT NULL",
     )
 
 
