@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, language_id, quality, url_filters
+from dossier.llm import fingerprints, language_id, mixing, packing, quality, url_filters
 from dossier.llm.common import remainder
 
 URL_RULES = (
@@ -31,6 +31,20 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(_table(spark, sf_dir, "documents"))
+
+
 def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = language_id.learn_profiles(language_id.learning_rows(docs))
@@ -42,6 +56,8 @@ QUERIES = {
     "op2_url_filters": q_urls,
     "op3_fingerprints": q_fingerprints,
     "op4_quality": q_quality,
+    "op6_packing": q_packing,
+    "op8_mixing": q_mixing,
     "op10_language": q_language,
 }
 
