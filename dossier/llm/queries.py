@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, language_id, mixing, packing, quality, url_filters
+from dossier.llm import chunk_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, url_filters
 from dossier.llm.common import remainder
 
 URL_RULES = (
@@ -17,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
+def q_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = chunk_dedup.strip_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    return docs.select(
+        "doc_id", "text", F.col("n_chars").alias("kept_chars"), F.size("runs").alias("n_removed"),
+        F.array_sort(F.array_distinct(F.transform("runs", lambda r: r["first_doc_id"]))).alias("first_doc_ids"), "runs",
+    )
+
+
 def q_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rules = spark.createDataFrame(list(URL_RULES), "verdict string, rule string")
@@ -53,10 +65,12 @@ def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": q_near_dedup,
     "op2_url_filters": q_urls,
     "op3_fingerprints": q_fingerprints,
     "op4_quality": q_quality,
     "op6_packing": q_packing,
+    "op7_chunk_dedup": q_chunk_dedup,
     "op8_mixing": q_mixing,
     "op10_language": q_language,
 }
