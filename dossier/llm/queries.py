@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chunk_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, url_filters
+from dossier.llm import (
+    chunk_dedup,
+    embedding_dedup,
+    fingerprints,
+    language_id,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    url_filters,
+)
 from dossier.llm.common import remainder
 
 URL_RULES = (
@@ -57,6 +68,14 @@ def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def q_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def q_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_classes(_table(spark, sf_dir, "embeddings"))
+
+
 def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = language_id.learn_profiles(language_id.learning_rows(docs))
@@ -69,9 +88,11 @@ QUERIES = {
     "op2_url_filters": q_urls,
     "op3_fingerprints": q_fingerprints,
     "op4_quality": q_quality,
+    "op5_licenses": q_licenses,
     "op6_packing": q_packing,
     "op7_chunk_dedup": q_chunk_dedup,
     "op8_mixing": q_mixing,
+    "op9_embedding_dedup": q_embeddings,
     "op10_language": q_language,
 }
 
