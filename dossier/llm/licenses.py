@@ -60,7 +60,7 @@ def plain_bigrams(text: str) -> list[str]:
 
 def units_of(text: Column) -> Column:
     """Each line, each block of lines without a blank one between, and the whole text; doubles once."""
-    lines, blocks = F.split(text, "\\R"), F.split(text, "\\R[ \\t]*\\R\\s*")
+    lines, blocks = F.split(text, "\\r?\\n|\\r"), F.split(text, "(?:\\r?\\n|\\r)[ \\t]*(?:\\r?\\n|\\r)[ \\t\\r\\n]*")
     return F.array_distinct(F.concat(lines, blocks, F.array(text)))
 
 

@@ -13,6 +13,7 @@ from dossier.llm import (
     licenses,
     mixing,
     near_dedup,
+    oracles,
     packing,
     quality,
     url_filters,
@@ -96,4 +97,7 @@ QUERIES = {
     "op10_language": q_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_url_filters": oracles.url_filters(URL_RULES),
+    "op5_licenses": oracles.license_scan(),
+}
