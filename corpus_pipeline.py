@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages that repeat out of all but their first text; every row stays."""
-    return chunk_dedup.strip_repeats(docs).select(*docs.columns)
+    return chunk_dedup.strip_repeats(docs, "_llm_runs").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

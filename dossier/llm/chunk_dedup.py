@@ -117,20 +117,20 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
     return per_text.select("doc_id", "version", runs.alias("runs")).where(F.size("runs") > 0)
 
 
-def strip_repeats(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``, and ``runs`` (empty where nothing was).
+def strip_repeats(docs: DataFrame, runs_col: str = "runs", **options: int) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and column ``runs_col`` (empty where nothing was).
 
     Every row stays, also one whose whole text is a repeat; its text is then empty. Null text stays
     null. ``n_chars`` follows the new text if it is a column.
     """
-    found = settle(repeats(docs, **options), "repeats").withColumnsRenamed({"doc_id": "_llm_id", "version": "_llm_version"})
+    found = settle(repeats(docs, **options), "repeats").select(F.col("doc_id").alias("_llm_id"), F.col("version").alias("_llm_version"), F.col("runs").alias(runs_col))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_version"))
-    empty = F.array().cast(found.schema["runs"].dataType)
-    rows = docs.drop("runs").join(found, same, "left").withColumn("runs", F.coalesce("runs", empty))
-    ends = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["start"] + r["size"]))
-    starts = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.length("text")))
+    empty = F.array().cast(found.schema[runs_col].dataType)
+    rows = docs.drop(runs_col).join(found, same, "left").withColumn(runs_col, F.coalesce(runs_col, empty))
+    ends = F.concat(F.array(F.lit(0)), F.transform(runs_col, lambda r: r["start"] + r["size"]))
+    starts = F.concat(F.transform(runs_col, lambda r: r["start"]), F.array(F.length("text")))
     kept = F.zip_with(ends, starts, lambda e, s: F.substring("text", e + 1, s - e))
-    out = rows.withColumn("text", F.when(F.size("runs") > 0, F.array_join(kept, "")).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(F.size(runs_col) > 0, F.array_join(kept, "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("runs") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[c for c in docs.columns if c != "runs"], "runs")
+        out = out.withColumn("n_chars", F.when(F.size(runs_col) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[c for c in docs.columns if c != runs_col], runs_col)

@@ -70,7 +70,7 @@ def best_match(unit: Column, templates: list[tuple[str, list[str]]], alike: floa
     |A| and |B| bigrams can only reach ``alike`` if alike/(2-alike) <= |A|/|B| <= (2-alike)/alike, so the number of words, which
     bounds |A| from above, and then |A| itself rule out templates before any set is compared.
     """
-    ratio = alike / (2 - alike)
+    ratio = alike / (2 - alike) - 1e-9  # bounds are met by a hair, never missed by rounding
     least = ratio * min((len(b) for _, b in templates), default=1)
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("grams")) for name, b in templates])
 

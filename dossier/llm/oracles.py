@@ -79,7 +79,7 @@ words AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(unit), '[^
 grams AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS grams FROM words),
 scored AS (
   SELECT g.doc_id, g.unit, t.license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM grams g JOIN templates t ON len(g.grams) BETWEEN {alike / (2 - alike)} * len(t.grams) AND len(t.grams) / {alike / (2 - alike)}),
+  FROM grams g JOIN templates t ON len(g.grams) BETWEEN {alike / (2 - alike) - 1e-9} * len(t.grams) AND len(t.grams) / {alike / (2 - alike) - 1e-9}),
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS n FROM scored WHERE dice >= {alike}) WHERE n = 1),
 found AS (
