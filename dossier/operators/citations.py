@@ -17,16 +17,19 @@ def extract_citations(
     text: str = "text",
     span: str = K.CITATION_SPAN,
     code: str = K.CITATION_CODE,
-    ref_chars: int = K.CITATION_CHARS,
+    shown_chars: int = K.CITATION_CHARS,
 ) -> DataFrame:
-    """``(doc_id, pos, ref_text, code)``: every span that names a code, numbered within its text."""
+    """``(doc_id, pos, ref_text, shown, code)``: every span that names a code, numbered within its text.
+
+    ``ref_text`` is the whole span; ``shown`` is its opening, for display only.
+    """
     spans = F.regexp_extract_all(F.col(text), F.lit(f"(?iu){span}"), F.lit(0))
     # Stripped per element: as a higher-order function the search runs once per text.
     found = docs.select(doc_id, F.posexplode(F.transform(spans, strip)).alias("pos", "_span"))
     return (
         found.withColumn("code", F.regexp_extract("_span", f"(?iu){code}", 1))
         .where(F.col("code") != "")
-        .select(doc_id, "pos", F.left("_span", F.lit(ref_chars)).alias("ref_text"), "code")
+        .select(doc_id, "pos", F.col("_span").alias("ref_text"), F.left("_span", F.lit(shown_chars)).alias("shown"), "code")
     )
 
 

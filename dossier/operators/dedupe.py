@@ -28,10 +28,10 @@ def insert_status(
     Works on the narrow pair (hash, order key); a text is never sorted or shuffled here.
     """
     first = batch.groupBy(hash_column).agg(F.min(order_by).alias("_first"))
-    fresh = not_stored(first, stored, hash_column).select("_first")
-    new = fresh.withColumn("_new", F.lit(True))
+    new = not_stored(first, stored, hash_column).select(F.col(hash_column).alias("_hash"), "_first")
+    same = (batch[hash_column] == new["_hash"]) & (batch[order_by] == new["_first"])
     return (
-        batch.join(new, batch[order_by] == new["_first"], "left")
-        .withColumn("status", F.when(F.col("_new"), "inserted").otherwise("duplicate"))
-        .drop("_first", "_new")
+        batch.join(new, same, "left")
+        .withColumn("status", F.when(F.col("_first").isNotNull(), "inserted").otherwise("duplicate"))
+        .drop("_hash", "_first")
     )

@@ -7,19 +7,23 @@ task; each task passes on only the best ``n`` per query, so nothing grows with t
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Queries up to this many rows travel to every task; more are cut into tiles and shuffled.
-BROADCAST_ROWS = 20_000
+from dossier.session import cut_lineage
+
+# Query vectors of this many bytes (as doubles) travel to every task at once; more go block by block.
+BLOCK_BYTES = 64 << 20
 QUERY_BLOCK = 1024
 CHUNK_BATCH = 4096
-TILE_ROWS = 20_000
 SCORE_DIGITS = 9
+_ANY, _UNKNOWN = -1, -2
 
 
 def _unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -37,8 +41,11 @@ def _keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _labels(column) -> np.ndarray:
-    return np.array(["" if v is None else str(v) for v in column.to_pylist()])
+def _codes(column: pa.ChunkedArray | pa.Array, known: pa.Array, missing: int) -> np.ndarray:
+    """Place of each value in the queries' distinct values, ``missing`` for all others."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.fill_null(pc.index_in(column.cast(pa.string()), value_set=known), missing).to_numpy(zero_copy_only=False)
 
 
 class _Best:
@@ -64,14 +71,14 @@ class _Best:
 
 def _fold(
     best: _Best, queries: dict, chunk_ids: np.ndarray, chunk_unit: np.ndarray,
-    chunk_labels: Sequence[np.ndarray], n: int, skip_same_id: bool,
+    chunk_codes: Sequence[np.ndarray], n: int, skip_same_id: bool,
 ) -> None:
     for lo in range(0, len(queries["unit"]), QUERY_BLOCK):
         hi = lo + QUERY_BLOCK
         scores = np.round(queries["unit"][lo:hi] @ chunk_unit.T, SCORE_DIGITS) + 0.0
-        for wanted, present in zip(queries["labels"], chunk_labels, strict=True):
+        for wanted, present in zip(queries["codes"], chunk_codes, strict=True):
             wanted = wanted[lo:hi, None]
-            scores[(wanted != "") & (wanted != present[None, :])] = -np.inf
+            scores[(wanted != _ANY) & (wanted != present[None, :])] = -np.inf
         if skip_same_id:
             scores[queries["key"][lo:hi, None] == chunk_ids[None, :]] = -np.inf
         width = scores.shape[1]
@@ -86,11 +93,16 @@ def _fold(
 
 
 def _queries_as_arrays(table: pa.Table, query_id: str, vector: str, filters: Sequence[str]) -> dict:
+    known = []
+    for f in filters:
+        values = pc.unique(table.column(f).combine_chunks().cast(pa.string())).drop_null()
+        known.append(values.filter(pc.not_equal(values, "")))
     return {
+        "known": known,
         "ids": table.column(query_id).combine_chunks(),
         "key": _keys(table.column(query_id)),
         "unit": _unit_rows(table.column(vector)),
-        "labels": [_labels(table.column(f)) for f in filters],
+        "codes": [_codes(table.column(f), k, _ANY) for f, k in zip(filters, known, strict=True)],
     }
 
 
@@ -117,15 +129,19 @@ def dense_topk(
     vector: str = "embedding",
     filters: Sequence[str] = (),
     skip_same_id: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-    tile_rows: int = TILE_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(query_id, chunk_id, dense_score, dense_rank)``: the best ``n`` chunks of each query.
 
-    ``filters`` name columns on both sides that must agree where the query's value is not null;
-    they are applied before ranking. Equal scores are ordered by chunk id.
+    ``filters`` name columns on both sides that must agree where the query's value is neither null
+    nor ``''``; they are applied before ranking. Equal scores are ordered by chunk id.
+
+    The queries are a stated set. They go to the tasks in blocks of at most ``block_bytes`` of
+    vectors; each block is held against every chunk where the chunk lies, so chunks are neither
+    shuffled nor copied, and a task passes on ``n`` rows per query. More queries mean more blocks
+    of the same plan.
     """
-    q = queries.select(query_id, vector, *filters).where(F.col(vector).isNotNull())
+    q = cut_lineage(queries.select(query_id, vector, *filters).where(F.col(vector).isNotNull()))
     c = chunks.select(chunk_id, vector, *filters).where(F.col(vector).isNotNull())
     schema = T.StructType(
         [
@@ -135,73 +151,37 @@ def dense_topk(
         ]
     )
     names = schema.fieldNames()
-    # At most one row more than the bound reaches the driver, whatever the table holds.
-    head = q.limit(broadcast_rows + 1).toArrow()
-    query_type = head.schema.field(query_id).type
-
-    def chunk_type(t: pa.DataType) -> list[pa.DataType]:
-        plain = [pa.string() if pa.types.is_large_string(x) else x for x in (query_type, t)]
-        return [*plain, pa.float64()]
+    held = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("width")).first()
+    blocks = max(1, -(-held["n"] * (held["width"] or 0) * 8 // block_bytes))
 
-    if head.num_rows <= broadcast_rows:
-        shared = q.sparkSession.sparkContext.broadcast(
-            _queries_as_arrays(head, query_id, vector, filters) if head.num_rows else None
-        )
+    def scanned(block: pa.Table) -> DataFrame:
+        shared = q.sparkSession.sparkContext.broadcast(_queries_as_arrays(block, query_id, vector, filters))
+        query_type = _plain(block.schema.field(query_id).type)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qs = shared.value
-            if qs is None:
-                return
-            best, id_type = _Best(n), None
+            qs, best, id_type = shared.value, _Best(n), None
             for batch in batches:
                 for lo in range(0, batch.num_rows, CHUNK_BATCH):
                     part = batch.slice(lo, CHUNK_BATCH)
-                    id_type = part.schema.field(chunk_id).type
+                    id_type = _plain(part.schema.field(chunk_id).type)
                     _fold(
                         best, qs, _keys(part.column(chunk_id)), _unit_rows(part.column(vector)),
-                        [_labels(part.column(f)) for f in filters], n, skip_same_id,
+                        [_codes(part.column(f), k, _UNKNOWN) for f, k in zip(filters, qs["known"], strict=True)], n, skip_same_id,
                     )
             if id_type is not None:
-                yield _result(best, qs, names, chunk_type(id_type))
+                yield _result(best, qs, names, [query_type, id_type, pa.float64()])
 
-        local = c.mapInArrow(scan, schema)
-    else:
-        local = _tiled(q, c, n, schema, query_id, chunk_id, vector, filters, skip_same_id, tile_rows, chunk_type)
+        return c.mapInArrow(scan, schema)
 
+    parts = []
+    for i in range(blocks):
+        block = q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i).toArrow()
+        if block.num_rows:
+            parts.append(scanned(block))
+    local = reduce(DataFrame.unionByName, parts) if parts else q.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy(query_id).orderBy(F.desc("dense_score"), F.asc(chunk_id))
     return local.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= n)
 
 
-def _tiled(q, c, n, schema, query_id, chunk_id, vector, filters, skip_same_id, tile_rows, chunk_type) -> DataFrame:
-    """Block join: each pair of a query tile and a chunk tile is one bounded group."""
-    q_tiles = max(1, -(-q.count() // tile_rows))
-    c_tiles = max(1, -(-c.count() // tile_rows))
-
-    def tile(key: str, tiles: int):
-        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(tiles)).cast("int")
-
-    left = q.withColumn("_q", tile(query_id, q_tiles)).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1)))
-    )
-    right = c.withColumn("_c", tile(chunk_id, c_tiles)).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))
-    )
-    names = schema.fieldNames()
-
-    def block(left_part: pa.Table, right_part: pa.Table) -> pa.Table:
-        best = _Best(n)
-        types = chunk_type(right_part.schema.field(chunk_id).type)
-        qs = None
-        if left_part.num_rows and right_part.num_rows:
-            qs = _queries_as_arrays(left_part, query_id, vector, filters)
-            for lo in range(0, right_part.num_rows, CHUNK_BATCH):
-                part = right_part.slice(lo, CHUNK_BATCH)
-                _fold(
-                    best, qs, _keys(part.column(chunk_id)), _unit_rows(part.column(vector)),
-                    [_labels(part.column(f)) for f in filters], n, skip_same_id,
-                )
-        return pa.Table.from_batches([_result(best, qs, names, types)])
-
-    return (
-        left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(block, schema)
-    )
+def _plain(kind: pa.DataType) -> pa.DataType:
+    return pa.string() if pa.types.is_large_string(kind) else kind

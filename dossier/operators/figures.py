@@ -12,37 +12,40 @@ from dossier.functions.text import strip
 FIGURE_PATTERN = "([0-9]+(?:[.][0-9]+)?)[ \\t]*([\\p{L}%]*)"
 SENTENCE_END = "[.!?]+\\s+|\\n+"
 NUMBER = "^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*\\z"
-ANY = "*"
 
 
 def candidates(questions: DataFrame, docs: DataFrame, max_docs: int | None = None) -> DataFrame:
     """``(question_id, doc_id)`` of the documents that a question's type and dates admit.
 
-    An equi join on the type; a question without one meets every document under the wildcard key.
-    ``max_docs`` keeps the newest ones only, by default all stay.
+    A question with a type joins on it. Those without one (null or ``''``) are a stated set that goes
+    to every document as one array value, so no document is copied for questions that do not exist.
+    ``max_docs`` keeps the newest ones only, by default all stay. ``truncated`` tells whether more
+    documents qualified than were kept.
     """
-    q = questions.select(
-        "question_id", F.coalesce("doc_type", F.lit(ANY)).alias("_scope"), "date_from", "date_to"
-    )
-    d = docs.select(
-        "doc_id", "issued_on", F.explode(F.array_distinct(F.array(F.coalesce("doc_type", F.lit("")), F.lit(ANY)))).alias("_scope")
-    )
-    pairs = d.join(q, "_scope").where(
+    q = questions.select("question_id", F.nullif("doc_type", F.lit("")).alias("_scope"), "date_from", "date_to")
+    d = docs.select("doc_id", "issued_on", F.col("doc_type").alias("_scope"))
+    open_ended = q.where("_scope IS NULL").agg(F.collect_list(F.struct("question_id", "date_from", "date_to")).alias("_all"))
+    untyped = d.select("doc_id", "issued_on", F.explode(open_ended.scalar()).alias("_q")).select("doc_id", "issued_on", "_q.*")
+    typed = d.join(q, "_scope").select("doc_id", "issued_on", "question_id", "date_from", "date_to")
+    pairs = typed.unionByName(untyped).where(
         (F.col("date_from").isNull() | (F.col("issued_on") >= F.col("date_from")))
         & (F.col("date_to").isNull() | (F.col("issued_on") <= F.col("date_to")))
     )
     if max_docs is None:
-        return pairs.select("question_id", "doc_id")
+        return pairs.select("question_id", "doc_id", F.lit(False).alias("truncated"))
+    # One row more than is kept shows that the cut applied; both windows hold that many rows at most.
     newest = Window.partitionBy("question_id").orderBy(F.desc_nulls_last("issued_on"), "doc_id")
     return (
         pairs.withColumn("_rn", F.row_number().over(newest))
+        .where(F.col("_rn") <= max_docs + 1)
+        .withColumn("truncated", F.max("_rn").over(Window.partitionBy("question_id")) > max_docs)
         .where(F.col("_rn") <= max_docs)
-        .select("question_id", "doc_id")
+        .select("question_id", "doc_id", "truncated")
     )
 
 
 def narrow(pairs: DataFrame, hits: DataFrame, above: int = K.NARROW_ABOVE) -> DataFrame:
-    """Candidates kept to the documents that keyword retrieval hit.
+    """Candidates kept to the documents that keyword retrieval hit; ``narrowed`` tells where that dropped some.
 
     ``hits``: ``(question_id, doc_id)``, rows only for questions with keywords. A question with
     ``above`` candidates or fewer, or with none left, keeps all of them.
@@ -59,7 +62,7 @@ def narrow(pairs: DataFrame, hits: DataFrame, above: int = K.NARROW_ABOVE) -> Da
     return (
         marked.join(per_question, "question_id")
         .where(~applies | F.col("_hit").isNotNull())
-        .select("question_id", "doc_id")
+        .select(*pairs.columns, (applies & (F.col("_kept") < F.col("_n"))).alias("narrowed"))
     )
 
 
@@ -77,10 +80,12 @@ def extract_figures(pairs: DataFrame, questions: DataFrame, docs: DataFrame, *,
     d = docs.select("doc_id", sentences(text).alias("_sentences"))
     q = questions.select("question_id", "pattern", F.lower("keyword").alias("_keyword"))
     rows = pairs.join(d, "doc_id").join(q, "question_id")
+    # The first hit ends the work on a text, and no predicate is copied below the explode.
     first = F.expr(
-        "filter(_sentences, s -> (_keyword IS NULL OR contains(lower(s), _keyword)) AND s RLIKE pattern)"
+        "aggregate(_sentences, CAST(NULL AS STRING), (hit, s) -> CASE WHEN hit IS NOT NULL THEN hit"
+        " WHEN (_keyword IS NULL OR contains(lower(s), _keyword)) AND s RLIKE pattern THEN s END)"
     )
-    return rows.withColumn("evidence", F.get(first, F.lit(0))).select(
+    return rows.select("question_id", "doc_id", "pattern", F.explode(F.array(first)).alias("evidence")).select(
         "question_id",
         "doc_id",
         F.col("evidence").isNotNull().alias("found"),
@@ -115,18 +120,18 @@ def _exact_total(amount: Column) -> Column:
 
 
 def totals(
-    questions: DataFrame, pairs: DataFrame, figures: DataFrame, *, max_docs: int | None = None
+    questions: DataFrame, pairs: DataFrame, figures: DataFrame
 ) -> DataFrame:
-    """``(question_id, agg, total, n_docs_scanned, n_docs_matched, truncated)``, one row per question.
+    """``(question_id, agg, total, n_docs_scanned, n_docs_matched, truncated, narrowed)``, one row per question.
 
-    ``truncated`` is true where ``max_docs`` candidates were scanned, so that older ones may be
-    missing from the total.
+    ``truncated``: more documents qualified than the newest that were taken. ``narrowed``: some
+    were left out because the keyword search did not hit them. Either way the total may miss figures.
     """
-    scanned = pairs.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_docs_scanned"))
+    flag = lambda c: F.max(c).alias(c) if c in pairs.columns else F.lit(False).alias(c)
+    scanned = pairs.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_docs_scanned"), flag("truncated"), flag("narrowed"))
     summed = matched(figures, questions).groupBy("question_id").agg(
         _exact_total(F.col("amount")).alias("total"), F.count(F.lit(1)).alias("n_docs_matched")
     )
-    cut = F.lit(False) if max_docs is None else F.col("n_docs_scanned") >= max_docs
     return (
         questions.select("question_id", F.coalesce("agg", F.lit("sum")).alias("agg"))
         .join(scanned, "question_id", "left")
@@ -137,7 +142,8 @@ def totals(
             F.coalesce("total", F.lit(0.0)).alias("total"),
             F.coalesce("n_docs_scanned", F.lit(0)).cast("long").alias("n_docs_scanned"),
             F.coalesce("n_docs_matched", F.lit(0)).cast("long").alias("n_docs_matched"),
-            F.coalesce(cut, F.lit(False)).alias("truncated"),
+            F.coalesce("truncated", F.lit(False)).alias("truncated"),
+            F.coalesce("narrowed", F.lit(False)).alias("narrowed"),
         )
     )
 

@@ -62,7 +62,7 @@ def rerank(
     c = chunks.select(chunk_id, F.col(text).alias("text"), *keep)
     scored = (
         pool.select(query_id, chunk_id, "fused_rank")
-        .join(c, chunk_id)
+        .join(c.join(pool.select(chunk_id).distinct(), chunk_id, "left_semi"), chunk_id)
         .join(q, query_id)
         .withColumn("score", score(F.col("_query_text"), F.col("text")))
     )
@@ -114,7 +114,7 @@ def context(
 
 def draft_context(
     drafts: DataFrame, hits: DataFrame, *, query_id: str = "query_id", number: str = "doc_no",
-    passage_chars: int | None = K.PASSAGE_CHARS,
+    passage_chars: int | None = None,
 ) -> DataFrame:
     """Passages to hold against a draft, one per line; '' where the corpus has none."""
     text = F.col("text") if passage_chars is None else F.left("text", F.lit(passage_chars))

@@ -65,10 +65,11 @@ def sparse_topk(
 ) -> DataFrame:
     """``(query_id, chunk_id, sparse_score, sparse_rank)``: best ``n`` chunks sharing a term.
 
-    Only terms that some query uses survive the first join, so the text is reduced before it is
+    A query's filter that is null or ``''`` is absent. Only terms that some query uses survive the first join, so the text is reduced before it is
     shuffled. One exchange by chunk carries counting and scoring; the per-query cut is applied in
     each task before the exchange by query.
     """
+    queries = queries.withColumns({f: F.nullif(F.col(f), F.lit("")) for f in filters})
     q_counts = term_counts(queries, query_id, query_text, filters).withColumnRenamed("tf", "qtf")
     q_terms = q_counts.select("term").distinct()
 

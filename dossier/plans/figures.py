@@ -31,7 +31,7 @@ def aggregate_figures(
 
     ``questions``: question_id, agg, doc_type, date_from, date_to, keyword, pattern and, when
     ``chunks`` are given for narrowing, keywords and embedding. All documents that qualify are
-    read unless ``max_docs`` is set; ``truncated`` tells where that cut applied.
+    read unless ``max_docs`` is set; ``truncated`` and ``narrowed`` tell where documents were left out.
     """
     pairs = G.candidates(questions, docs, max_docs)
     scanned = pairs
@@ -40,5 +40,5 @@ def aggregate_figures(
     # Both results and the counts start from these rows.
     scanned = cut_lineage(scanned)
     found = cut_lineage(G.extract_figures(scanned, questions, docs, text=text).where("found"))
-    totals = G.totals(questions, scanned, found, max_docs=max_docs)
+    totals = G.totals(questions, scanned, found)
     return totals, G.evidence(questions, found, docs)

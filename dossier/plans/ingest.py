@@ -12,7 +12,7 @@ from dossier.functions.replies import parse_reply
 from dossier.functions.text import content_hash, strip, strip_nul
 from dossier.operators.assembly import choose_text, split_rejects
 from dossier.operators.chunking import chunk_table, structural_chunks
-from dossier.operators.dedupe import first_per_content, not_stored
+from dossier.operators.dedupe import not_stored
 from dossier.operators.metadata import REPLY_SCHEMA, doc_types, normalise
 from dossier.session import cut_lineage
 from dossier.sources.store import Store
@@ -48,8 +48,13 @@ def _texts(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fresh_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """First row per content that the store does not hold; done before any costly step."""
-    return not_stored(first_per_content(batch, "path"), stored)
+    """First row per content that the store does not hold; done before any costly step.
+
+    The choice is made on (hash, path) alone; only the rows that stay are matched with their texts.
+    """
+    first = not_stored(batch.groupBy("sha256").agg(F.min("path").alias("path")), stored)
+    found = batch.join(first, ["sha256", "path"], "left_semi")
+    return found.dropDuplicates(["sha256"])
 
 
 def to_documents(
@@ -85,7 +90,7 @@ def ingest(
     spark = batch.sparkSession
     stored = store.documents().where(F.col("batch_id") != batch_id).select("sha256")
     rows = fresh_rows(completed(batch), stored)
-    stamp = ingested_at if ingested_at is not None else F.lit(None).cast("timestamp")
+    stamp = ingested_at if ingested_at is not None else F.current_timestamp()
     # Cutting the text is the costly step; all three tables start from these checkpointed rows.
     prepared = cut_lineage(to_documents(rows, doc_types(spark), stamp))
     store.write_documents(prepared, batch_id)

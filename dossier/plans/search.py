@@ -56,11 +56,14 @@ def draft_check_context(
     *,
     top: int = K.CHECK_TOP,
     pool: int = K.CHECK_POOL,
-    probe_chars: int | None = K.PROBE_CHARS,
-    passage_chars: int | None = K.PASSAGE_CHARS,
+    probe_chars: int | None = None,
+    passage_chars: int | None = None,
     number: str = "doc_no",
 ) -> DataFrame:
-    """Per draft, the passages of the corpus that it should be read against."""
+    """Per draft, the passages of the corpus that it should be read against.
+
+    The whole draft is the probe and whole passages come back, unless a limit is given.
+    """
     queries = drafts.withColumn("text", probe("text", probe_chars))
     hits = hybrid_search(queries, chunks, top=top, pool=pool, keep=[number])
     return draft_context(drafts, hits, number=number, passage_chars=passage_chars)

@@ -66,7 +66,7 @@ WITH docs AS (SELECT doc_id, doc_id || '/2020/QĐ-UBND' AS doc_no, source AS sub
     replace(text, '. ', '; căn CỨ Quyết định số ' || n_chars || '/2020/QĐ-UBND ngày ') AS text FROM documents),
 spans AS (SELECT doc_id, unnest(s) AS span, unnest(range(0, len(s))) AS pos
   FROM (SELECT doc_id, regexp_extract_all(text, '(?i)Căn cứ[^;\\n]*') AS s FROM docs)),
-refs AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, left(trim(span, ' ' || chr(9) || chr(13)), 160) AS ref_text,
+refs AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(span, ' ' || chr(9) || chr(13)) AS ref_text, left(trim(span, ' ' || chr(9) || chr(13)), 160) AS shown,
     regexp_extract(span, '(?i)số\\s*([0-9]+[/-][0-9A-ZĐa-zđ./\\-]+)', 1) AS code FROM spans
   WHERE regexp_extract(span, '(?i)số\\s*([0-9]+[/-][0-9A-ZĐa-zđ./\\-]+)', 1) <> '')"""
 
@@ -97,7 +97,7 @@ QUERIES = {
 
 ORACLE = {
     "trigram_top3": TRIGRAM_SQL,
-    "refs_extract": CITING + " SELECT doc_id, pos, ref_text, code FROM refs",
+    "refs_extract": CITING + " SELECT doc_id, pos, ref_text, shown, code FROM refs",
     "refs_resolve": CITING + TOP3_REFS + """,
 listed AS (SELECT probe, string_agg(match, '|' ORDER BY match_rank) AS suggested FROM best GROUP BY probe)
 SELECT doc_id, pos, ref_text, code, suggested IS NOT NULL AS found, suggested

@@ -90,12 +90,8 @@ def q_chunk_payload(spark, sf_dir):
 
 
 def q_integrity(spark, sf_dir):
-    """Windows of all documents against the documents that were labelled, both ways round."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    long_ones = docs.where(F.length("text") > 1000)
-    chunks = chunk_table(long_ones, fixed_chunks("text"))
-    return integrity(labels.select("doc_id"), chunks)
+    """Windows of every document against the documents that were labelled, both ways round."""
+    return integrity(table(spark, sf_dir, "labels").select("doc_id"), window_chunks(spark, sf_dir))
 
 
 QUERIES = {
@@ -148,11 +144,10 @@ ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 500""",
     + "SELECT doc_id, CAST(count(*) AS INTEGER) AS n_chunks FROM window_chunks GROUP BY doc_id",
     "chunk_payload": WITH_CHUNKS
     + "SELECT c.chunk_id, c.doc_id, c.pos, c.text, d.source, d.lang FROM window_chunks c JOIN documents d USING (doc_id)",
-    "integrity": WITH_CHUNKS + """,
-long_chunks AS (SELECT c.* FROM window_chunks c JOIN documents d USING (doc_id) WHERE length(d.text) > 1000)
+    "integrity": WITH_CHUNKS + """
 SELECT 'document_without_chunks' AS problem, doc_id, CAST(NULL AS VARCHAR) AS chunk_id
-FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM long_chunks)
+FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM window_chunks)
 UNION ALL
-SELECT 'chunk_without_document', doc_id, chunk_id FROM long_chunks
+SELECT 'chunk_without_document', doc_id, chunk_id FROM window_chunks
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 }

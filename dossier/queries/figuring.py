@@ -101,7 +101,7 @@ summed AS (SELECT question_id, count(*) AS n,
     CAST(sum(CASE WHEN agg = 'count' THEN 1 ELSE CAST(value AS DECIMAL(30, 10)) END) AS DOUBLE) AS total
   FROM figures GROUP BY question_id)
 SELECT q.question_id, q.agg, coalesce(total, 0) AS total, coalesce(s.n, 0) AS n_docs_scanned,
-  coalesce(m.n, 0) AS n_docs_matched, false AS truncated
+  coalesce(m.n, 0) AS n_docs_matched, false AS truncated, false AS narrowed
 FROM questions q LEFT JOIN scanned s USING (question_id) LEFT JOIN summed m USING (question_id)"""
 
 QUERIES = {
@@ -122,13 +122,14 @@ ORACLE = {
 SELECT question_id, unit, CAST(sum(CAST(value AS DECIMAL(30, 10))) AS DOUBLE) AS total,
   count(*) AS n_docs_matched FROM figures GROUP BY question_id, unit""",
     "newest_candidates": _figures_cte("sum") + """
-SELECT question_id, doc_id FROM (SELECT question_id, doc_id, row_number() OVER (
-  PARTITION BY question_id ORDER BY issued_on DESC, doc_id) AS rn FROM pairs) WHERE rn <= 60""",
+SELECT question_id, doc_id, n > 60 AS truncated FROM (SELECT question_id, doc_id, row_number() OVER (
+  PARTITION BY question_id ORDER BY issued_on DESC, doc_id) AS rn, count(*) OVER (PARTITION BY question_id) AS n FROM pairs) WHERE rn <= 60""",
     "narrow_semi": _hybrid_cte(False, 60) + _rerank_cte(40) + """,
 cand AS (SELECT q.query_id AS question_id, d.doc_id FROM queries q JOIN documents d
          ON q.direction IS NULL OR q.direction = d.lang),
 marked AS (SELECT c.*, r.chunk_id IS NOT NULL AS hit FROM cand c LEFT JOIN reranked r
            ON r.query_id = c.question_id AND r.chunk_id = c.doc_id),
 per AS (SELECT question_id, count(*) AS n, count(*) FILTER (WHERE hit) AS kept FROM marked GROUP BY question_id)
-SELECT question_id, doc_id FROM marked JOIN per USING (question_id) WHERE hit OR n <= 15 OR kept = 0""",
+SELECT question_id, doc_id, false AS truncated, n > 15 AND kept > 0 AND kept < n AS narrowed
+FROM marked JOIN per USING (question_id) WHERE hit OR n <= 15 OR kept = 0""",
 }

@@ -27,20 +27,6 @@ def q_dense_topk(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.round("dense_score", 6).alias("score"), "dense_rank")
 
 
-def q_dense_tiled(spark, sf_dir):
-    """The same with both sides cut into tiles, as for a query table too large to send around."""
-    vectors = table(spark, sf_dir, "embeddings")
-    hits = dense_topk(
-        vectors.withColumnRenamed("vec_id", "query_id"),
-        vectors.withColumnRenamed("vec_id", "chunk_id"),
-        10,
-        skip_same_id=True,
-        broadcast_rows=0,
-        tile_rows=300,
-    )
-    return hits.select("query_id", "chunk_id", F.round("dense_score", 6).alias("score"), "dense_rank")
-
-
 DENSE_SQL = """
 SELECT query_id, chunk_id, round(s, 6) AS score, CAST(r AS INTEGER) AS dense_rank FROM (
   SELECT query_id, chunk_id, s,
@@ -112,8 +98,8 @@ SPARSE_WEIGHTS_SQL = (
 
 
 def _hybrid_cte(filtered: bool, pool: int) -> str:
-    where = (
-        "WHERE (q.doc_type IS NULL OR q.doc_type = c.doc_type)"
+    where = "WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL" + (
+        " AND (q.doc_type IS NULL OR q.doc_type = c.doc_type)"
         " AND (q.direction IS NULL OR q.direction = c.direction)"
         if filtered else ""
     )
@@ -186,7 +172,7 @@ RERANK_OUT = (
 
 
 def q_context(spark, sf_dir):
-    """Context for every benchmark item; an item whose vector is missing finds nothing."""
+    """Context for every benchmark item; an item without a vector is found by its terms alone."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     return context(queries, _hits(spark, sf_dir, FILTERS))
 
@@ -195,7 +181,7 @@ CONTEXT_OUT = """
 SELECT b.item_id AS query_id, coalesce(c, 'Không tìm thấy thông tin trong kho dữ liệu.') AS context,
        c IS NOT NULL AS found
 FROM benchmark b LEFT JOIN (
-  SELECT query_id, string_agg(chr(10) || '[Đoạn ' || rank || ' | ' || doc_no || ' - ' || issued_on || '] '
+  SELECT query_id, string_agg(chr(10) || '[Đoạn ' || rank || ' | ' || doc_no || ' - ' || coalesce(CAST(issued_on AS VARCHAR), '?') || '] '
          || text || chr(10), '' ORDER BY rank) AS c FROM reranked GROUP BY query_id) r
   ON b.item_id = r.query_id"""
 
@@ -217,7 +203,7 @@ SELECT b.item_id AS query_id, coalesce(s, '[]') AS sources FROM benchmark b LEFT
 def q_draft_context(spark, sf_dir):
     """Every benchmark passage as a draft, its whole text as probe, whole passages as context."""
     drafts = search_queries(spark, sf_dir)
-    return draft_check_context(drafts, corpus(spark, sf_dir), probe_chars=None, passage_chars=None)
+    return draft_check_context(drafts, corpus(spark, sf_dir))
 
 
 DRAFT_OUT = """
@@ -228,7 +214,6 @@ SELECT q.query_id, coalesce(c, '') AS context FROM queries q LEFT JOIN (
 QUERIES = {
     "rrf": q_rrf,
     "dense_topk": q_dense_topk,
-    "dense_topk_tiled": q_dense_tiled,
     "sparse_topk": q_sparse_topk,
     "sparse_weights": q_sparse_weights,
     "hybrid_filtered": q_hybrid_filtered,
@@ -241,7 +226,6 @@ QUERIES = {
 ORACLE = {
     "rrf": _hybrid_cte(False, 24) + RRF_OUT,
     "dense_topk": DENSE_SQL,
-    "dense_topk_tiled": DENSE_SQL,
     "sparse_topk": SPARSE_SQL,
     "sparse_weights": SPARSE_WEIGHTS_SQL,
     "hybrid_filtered": _hybrid_cte(True, 24) + RRF_OUT,

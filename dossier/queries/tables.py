@@ -19,10 +19,10 @@ def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that has a vector, as a chunk with its payload."""
+    """Every document as a chunk with its payload; vector, label and date are null where it has no vector."""
     docs = spread(spark, sf_dir, "documents", "doc_id")
     vectors = table(spark, sf_dir, "embeddings")
-    return docs.join(vectors, docs.doc_id == vectors.vec_id).select(
+    return docs.join(vectors, docs.doc_id == vectors.vec_id, "left").select(
         F.col("doc_id").alias("chunk_id"),
         "text",
         "embedding",
@@ -36,14 +36,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS = """corpus AS (
   SELECT d.doc_id AS chunk_id, d.text, e.embedding, d.source AS doc_type, d.lang AS direction,
          d.doc_id || '/' || d.source AS doc_no, DATE '2024-01-01' + e.label AS issued_on
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item with its vector; half of them ask for one direction only."""
     items = table(spark, sf_dir, "benchmark")
     vectors = table(spark, sf_dir, "embeddings")
-    return items.join(vectors, items.item_id == vectors.vec_id).select(
+    return items.join(vectors, items.item_id == vectors.vec_id, "left").select(
         F.col("item_id").alias("query_id"),
         "text",
         "embedding",
@@ -55,7 +55,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES_CTE = """queries AS (
   SELECT b.item_id AS query_id, b.text, e.embedding, CAST(NULL AS VARCHAR) AS doc_type,
          CASE WHEN e.label < 5 THEN 'en' END AS direction
-  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id)"""
 
 
 def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

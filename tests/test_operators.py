@@ -233,7 +233,7 @@ def test_dense_filters_and_tiles_agree(spark):
     queries = spark.createDataFrame([(i, r[1], None if i % 3 else "a") for i, r in enumerate(rows[:9])],
                                     "query_id long, embedding array<float>, direction string")
     one = dense_topk(queries, chunks, 5, filters=["direction"]).collect()
-    two = dense_topk(queries, chunks.repartition(5), 5, filters=["direction"], broadcast_rows=2, tile_rows=7).collect()
+    two = dense_topk(queries, chunks.repartition(5), 5, filters=["direction"], block_bytes=64).collect()
     assert sorted(one) == sorted(two) and len(one) == 45
     side = dict((r[0], r[2]) for r in rows)
     assert all(side[r.chunk_id] == "a" for r in one if r.query_id % 3 == 0)
