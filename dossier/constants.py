@@ -45,7 +45,6 @@ FALLBACK_ROLE = "khac"
 # Directions.
 OUTGOING = "out"
 INCOMING = "in"
-DIRECTION_CODES = (("di", OUTGOING), ("den", INCOMING))
 
 # Name fragments that exclude a PDF, and the one that marks the signed copy.
 OUTGOING_EXCLUDED = ("can_cu", "cancu", "thamkhao")
@@ -67,8 +66,6 @@ MIN_NATIVE_TEXT = 50
 HEAD_CHARS = 3000
 TAIL_CHARS = 1500
 PROBE_CHARS = 600
-DRAFT_CHARS = 12000
-BODY_CHARS = 8000
 PASSAGE_CHARS = 500
 CITATION_CHARS = 160
 
@@ -112,3 +109,7 @@ LAYOUT_SPACING_MAX = 1.5
 MARGIN_TOLERANCE_CM = 0.05
 SPACING_TOLERANCE = 0.01
 ISSUE_EXAMPLES = 5
+
+# Code fences around a reply, and the widest JSON text inside prose.
+REPLY_FENCE = "(?m)^```(json)?|```$"
+REPLY_WIDEST = "(?s)\\{.*\\}|\\[.*\\]"

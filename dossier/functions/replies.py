@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier import constants as K
 from dossier.functions.text import bound, strip
 
 
@@ -16,10 +17,9 @@ def _valid(c: Column) -> Column:
 def reply_text(c: Column | str) -> Column:
     """The JSON text inside a reply: fences removed, else the widest braces or brackets, else null."""
     c = F.col(c) if isinstance(c, str) else c
-    bare = strip(F.regexp_replace(strip(c), "(?m)^```(json)?|```$", ""))
-    widest = "(?s)\\{.*\\}|\\[.*\\]"
+    bare = strip(F.regexp_replace(strip(c), K.REPLY_FENCE, ""))
     return bound(
-        bare, lambda b: F.coalesce(_valid(b), bound(F.regexp_extract(b, widest, 0), _valid))
+        bare, lambda b: F.coalesce(_valid(b), bound(F.regexp_extract(b, K.REPLY_WIDEST, 0), _valid))
     )
 
 

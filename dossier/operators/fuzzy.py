@@ -2,9 +2,10 @@
 
 A similarity join over distinct texts with a prefix filter: two sets of sizes a and b whose Jaccard
 value exceeds t share at least o = t / (1 + t) * (a + b) trigrams, hence one of the first
-a - o + 1 of the one and b - o + 1 of the other under any common order. Common trigrams are put
-last in that order, and the size of the other set is part of the join key, so that a trigram which
-most texts hold is hardly ever a key that two sides share.
+a - o + 1 of the one and b - o + 1 of the other under any common order. Rare trigrams come first in
+that order, and only they are join keys between texts. A pair that shares no rare trigram depends
+on nothing but the two sets of common trigrams and the two sizes, so texts are grouped by these and
+the few groups are joined instead; a group stands for its rows of smallest id.
 """
 
 from __future__ import annotations
@@ -21,11 +22,6 @@ from dossier.session import cut_lineage
 COMMON_SHARE = 100
 
 
-# Thresholds tried before the asked one. A probe that has its full number of matches above a step
-# is finished there, because everything not yet seen is less similar.
-STEPS = (0.8, 0.7, 0.6)
-
-
 def _features(texts: DataFrame) -> DataFrame:
     """Distinct texts with their trigram sets; a text without trigrams matches nothing."""
     return (
@@ -45,60 +41,71 @@ def _common_ranks(features: DataFrame) -> DataFrame:
     return common.agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("ranks"))
 
 
-def _rarest_first(features: DataFrame, ranks: Column) -> DataFrame:
-    keyed = F.array_sort(
-        F.transform(
-            "grams",
-            lambda g: F.struct(F.coalesce(F.element_at("ranks", g), F.lit(0)).alias("n"), g.alias("g")),
-        )
+def _parted(features: DataFrame, ranks: Column) -> DataFrame:
+    """``(value, size, rare, common)``; both lists are in the one order of all texts."""
+    by_rank = F.array_sort(
+        F.transform("grams", lambda g: F.struct(F.coalesce(F.element_at("ranks", g), F.lit(0)).alias("n"), g.alias("g")))
+    )
+    ranked = features.withColumn("ranks", ranks).select("value", by_rank.alias("keyed"))
+    kept = lambda test: F.transform(F.filter("keyed", test), lambda s: s["g"])
+    return ranked.select(
+        "value", F.size("keyed").alias("size"), kept(lambda s: s["n"] == 0).alias("rare"), kept(lambda s: s["n"] > 0).alias("common"),
     )
-    ranked = features.withColumn("ranks", ranks)
-    return ranked.select("value", F.transform(keyed, lambda s: s["g"]).alias("grams"))
 
 
 def trigram_tables(probes: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides as distinct ``(value, grams)``, rarest trigrams first; inputs have ``value``."""
-    right = cut_lineage(_features(corpus))
+    """Both sides as distinct ``(value, size, rare, common)``; inputs have ``value``."""
+    right = _features(corpus)
     ranks = _common_ranks(right).scalar()
-    return cut_lineage(_rarest_first(_features(probes), ranks)), cut_lineage(_rarest_first(right, ranks))
+    return cut_lineage(_parted(_features(probes), ranks)), cut_lineage(_parted(right, ranks))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``(left_value, right_value, similarity)`` of the tables above that exceed the threshold."""
-    # Slightly below the threshold, so that rounding never loses a pair at the boundary.
-    t = threshold - 1e-6
+def _overlap(a: Column, b: Column, t: float) -> Column:
+    return F.ceil((a + b) * F.lit(t / (1 + t))).cast("int")
 
-    def overlap(a: Column, b: Column) -> Column:
-        return F.ceil((a + b) * F.lit(t / (1 + t))).cast("int")
 
+def _joined(left: DataFrame, right: DataFrame, id_column: str, keys: str, before: str | None, threshold: float) -> DataFrame:
+    """Pairs of ids that share a prefix trigram of the list ``keys`` and exceed the threshold.
+
+    ``before`` names the list that stands in front of ``keys`` in the common order; where it is
+    given, the pair is taken to share nothing of it.
+    """
+    # Slightly below the threshold, so that rounding never loses a pair at the boundary.
+    t = threshold - 1e-6
     a, b = F.col("left_size"), F.col("right_size")
-    sized = left.select(
-        F.col("value").alias("left_value"), F.col("grams").alias("left_grams"),
-        F.size("grams").alias("left_size"),
-    )
+    ahead = lambda side: F.size(f"{side}_{before}") if before else F.lit(0)
+    names = [id_column, "size", "rare", "common"]
+    sides = {s: df.select(*[F.col(n).alias(f"{s}_{n}") for n in names]) for s, df in (("left", left), ("right", right))}
     sizes = F.sequence(F.ceil(a * F.lit(t)).cast("int"), F.floor(a / F.lit(t)).cast("int"))
+
+    def prefix(side: str, n: Column) -> Column:
+        return F.slice(f"{side}_{keys}", F.lit(1), F.greatest(n - ahead(side), F.lit(0)))
+
     probing = (
-        sized.select("*", F.explode(sizes).alias("right_size"))
-        .select("*", F.slice("left_grams", F.lit(1), a - overlap(a, b) + 1).alias("left_prefix"))
+        sides["left"].select("*", F.explode(sizes).alias("right_size"))
+        .select("*", prefix("left", a - _overlap(a, b, t) + 1).alias("left_prefix"))
         .select("*", F.explode("left_prefix").alias("gram"))
     )
-    held = right.select(
-        F.col("value").alias("right_value"), F.col("grams").alias("right_grams"),
-        F.size("grams").alias("right_size"),
-    )
-    longest = b - F.ceil(b * F.lit(t)).cast("int") + 1
-    indexed = held.select("*", F.explode(F.slice("right_grams", F.lit(1), longest)).alias("gram"))
-    right_prefix = F.slice("right_grams", F.lit(1), b - overlap(a, b) + 1)
-    shared = F.size(F.array_intersect("left_grams", "right_grams"))
+    indexed = sides["right"].select("*", F.explode(prefix("right", b - F.ceil(b * F.lit(t)).cast("int") + 1)).alias("gram"))
+    shared = F.size(F.array_intersect("left_common", "right_common"))
+    if not before:
+        shared = shared + F.size(F.array_intersect("left_rare", "right_rare"))
     return (
         probing.join(indexed, ["gram", "right_size"])
         # A pair meets once per shared prefix trigram; it is kept at the first of them only.
-        .where(F.col("gram") == F.get(F.array_intersect("left_prefix", right_prefix), F.lit(0)))
-        .select("left_value", "right_value", (shared / (a + b - shared)).alias("similarity"))
+        .where(F.col("gram") == F.get(F.array_intersect("left_prefix", prefix("right", b - _overlap(a, b, t) + 1)), F.lit(0)))
+        .select(f"left_{id_column}", f"right_{id_column}", (shared / (a + b - shared)).alias("similarity"))
         .where(above(F.col("similarity"), threshold))
     )
 
 
+def _grouped(table: DataFrame) -> DataFrame:
+    """Groups of texts alike in size and common trigrams; ``rare`` of a group is as long as its texts'."""
+    return table.where(F.size("common") > 0).groupBy("size", "common").agg(F.first("rare").alias("rare")).withColumn(
+        "group", F.struct("size", "common")
+    )
+
+
 def fuzzy_topk(
     probes: DataFrame,
     corpus: DataFrame,
@@ -112,48 +119,47 @@ def fuzzy_topk(
 ) -> DataFrame:
     """``(probe, match_id, match, similarity, match_rank)``: best ``top`` rows per distinct probe.
 
-    Equal similarities are ordered by id. Only the ``top`` smallest ids of a corpus text can reach
-    a result, so a text shared by any number of rows adds at most that many.
+    Equal similarities are ordered by id. Only the ``top`` smallest ids of a corpus text, and twice
+    as many of a group, can reach a result, so a text or group of any size adds at most that many.
     """
     if not 0 < threshold < 1:
         raise ValueError("need 0 < threshold < 1")
-    open_probes, texts = trigram_tables(
+    asked, texts = trigram_tables(
         probes.select(F.col(probe).alias("value")), corpus.select(F.col(key).alias("value"))
     )
-    by_id = Window.partitionBy("right_value").orderBy(corpus_id)
+    first = Window.partitionBy("right_value").orderBy(corpus_id)
     smallest = (
         corpus.select(F.col(key).alias("right_value"), F.col(corpus_id))
         .where(F.col("right_value").isNotNull())
-        .withColumn("_rn", F.row_number().over(by_id))
+        .withColumn("_rn", F.row_number().over(first))
         .where(F.col("_rn") <= top)
         .drop("_rn")
     )
+    differ = F.col("left_value") != F.col("right_value") if skip_equal else F.lit(True)
+    columns = ["left_value", "right_value", corpus_id, "similarity"]
+    by_text = _joined(asked, texts, "value", "rare", None, threshold).where(differ).join(smallest, "right_value").select(*columns)
+
+    # One value may have to be left out for being equal to the probe; at most ``top`` rows hold it.
+    in_group = Window.partitionBy("right_group").orderBy(corpus_id)
+    standing = (
+        texts.where(F.size("common") > 0).select(F.struct("size", "common").alias("right_group"), F.col("value").alias("right_value"))
+        .join(smallest, "right_value").withColumn("_rn", F.row_number().over(in_group)).where(F.col("_rn") <= 2 * top).drop("_rn")
+    )
+    nearest = Window.partitionBy("left_group").orderBy(F.desc("similarity"), F.asc(corpus_id))
+    reachable = (
+        _joined(_grouped(asked), _grouped(texts), "group", "common", "rare", threshold).join(standing, "right_group")
+        .withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= 2 * top)
+    )
+    members = asked.select(F.struct("size", "common").alias("left_group"), F.col("value").alias("left_value"))
+    by_group = reachable.join(members, "left_group").where(differ).select(*columns)
+
+    # The group's value misses shared rare trigrams, which the join by text has counted.
     best = Window.partitionBy("left_value").orderBy(F.desc("similarity"), F.asc(corpus_id))
-    finished: list[DataFrame] = []
-    for step in [s for s in STEPS if s > threshold] + [threshold]:
-        pairs = similar_pairs(open_probes, texts, step)
-        if skip_equal:
-            pairs = pairs.where(F.col("left_value") != F.col("right_value"))
-        ranked = (
-            pairs.join(smallest, "right_value")
-            .withColumn("match_rank", F.row_number().over(best))
-            .where(F.col("match_rank") <= top)
-        )
-        if step == threshold:
-            finished.append(ranked)
-            break
-        ranked = cut_lineage(ranked)
-        full = ranked.where(F.col("match_rank") == top).select("left_value")
-        finished.append(ranked.join(full, "left_value", "left_semi"))
-        open_probes = cut_lineage(
-            open_probes.join(full, open_probes["value"] == full["left_value"], "left_anti")
+    return (
+        by_text.unionByName(by_group).groupBy("left_value", "right_value", corpus_id).agg(F.max("similarity").alias("similarity"))
+        .withColumn("match_rank", F.row_number().over(best)).where(F.col("match_rank") <= top)
+        .select(
+            F.col("left_value").alias(probe), F.col(corpus_id).alias("match_id"),
+            F.col("right_value").alias("match"), "similarity", "match_rank",
         )
-        if open_probes.isEmpty():
-            break
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out.select(
-        F.col("left_value").alias(probe), F.col(corpus_id).alias("match_id"),
-        F.col("right_value").alias("match"), "similarity", "match_rank",
     )

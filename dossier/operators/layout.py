@@ -34,6 +34,11 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from JSON lines with the columns of RULE_SCHEMA, so that a site can change them as data."""
+    return spark.read.schema(RULE_SCHEMA).json(path)
+
+
 def _rule(rules: DataFrame, rule: str, column: str) -> Column:
     return rules.where(F.col("rule") == rule).agg(F.first(column).alias("v")).scalar()
 
@@ -106,17 +111,21 @@ def effective_runs(runs: DataFrame, paragraphs: DataFrame, styles: DataFrame) ->
         "doc_id", F.nullif("font", F.lit("")).alias("n_font"),
         F.nullif("size_pt", F.lit(0.0)).alias("n_size"),
     )
-    visible = paragraphs.where(~is_blank("text")).select("doc_id", "para", "style_id")
+    # Styles are resolved on paragraphs; runs, the largest table, are shuffled once.
+    styled = (
+        paragraphs.where(~is_blank("text")).select("doc_id", "para", "style_id")
+        .join(closure, ["doc_id", "style_id"], "left")
+        .join(normal, "doc_id", "left")
+        .select("doc_id", "para", F.coalesce("s_font", "n_font").alias("p_font"), F.coalesce("s_size", "n_size").alias("p_size"))
+    )
     return (
         runs.where(~is_blank("text"))
         .select("doc_id", "para", "run", "font", "size_pt")
-        .join(visible, ["doc_id", "para"])
-        .join(closure, ["doc_id", "style_id"], "left")
-        .join(normal, "doc_id", "left")
+        .join(styled, ["doc_id", "para"])
         .select(
             "doc_id", "para", "run",
-            F.coalesce(F.nullif("font", F.lit("")), "s_font", "n_font").alias("font"),
-            F.coalesce(F.nullif("size_pt", F.lit(0.0)), "s_size", "n_size").alias("size_pt"),
+            F.coalesce(F.nullif("font", F.lit("")), "p_font").alias("font"),
+            F.coalesce(F.nullif("size_pt", F.lit(0.0)), "p_size").alias("size_pt"),
         )
     )
 

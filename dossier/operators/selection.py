@@ -70,35 +70,38 @@ def without_twin(ruled: DataFrame) -> DataFrame:
         "base_name", twin_key("name")
     )
     keys = ["doc_no", "direction", "base_name"]
-    pdfs = incoming.where(F.col("kind") == "pdf").select(*keys).distinct()
+    pdfs = incoming.where(F.col("kind") == "pdf").select(*keys)
     return incoming.where(F.col("kind") == "word").join(pdfs, keys, "left_anti").drop("base_name")
 
 
 def select_attachments(files: DataFrame) -> DataFrame:
-    """Attachments to keep, each with the reason; nothing is deleted."""
+    """Attachments to keep, each with the reason, in one pass over the files; nothing is deleted.
+
+    Outgoing: the main file of each number. Incoming: admitted PDFs, and Word files without a PDF
+    twin. Sheets always. Rank and twin come from windows that share one exchange by number.
+    """
     ruled = with_rules(files)
-    columns = [*files.columns, "kind"]
-    sheets = ruled.where(F.col("kind") == "sheet")
-    incoming_pdfs = ruled.where(
-        (F.col("direction") != K.OUTGOING) & (F.col("kind") == "pdf") & F.col("valid")
-    )
-    parts = (
-        (main_outgoing(ruled), "main file"),
-        (incoming_pdfs, "incoming pdf"),
-        (without_twin(ruled), "word without pdf twin"),
-        (sheets, "sheet"),
+    is_out, kind = F.col("direction") == K.OUTGOING, F.col("kind")
+    tier = F.when(is_out & F.col("valid"), F.when(kind == "pdf", F.when(F.col("signed"), 1).otherwise(2)).when(kind == "word", 3))
+    order = Window.partitionBy("doc_no", is_out).orderBy(F.asc_nulls_last("_tier"), F.desc("size"), "path")
+    twins = Window.partitionBy("doc_no", is_out, "direction", "_base")
+    marked = ruled.withColumns({"_tier": tier, "_base": twin_key("name")}).repartition("doc_no").withColumns({
+        "_rn": F.row_number().over(order),
+        "_twin": F.max(~is_out & (kind == "pdf") & F.col("valid")).over(twins),
+    })
+    reason = (
+        F.when(F.col("_tier").isNotNull() & (F.col("_rn") == 1), "main file")
+        .when(kind == "sheet", "sheet")
+        .when(~is_out & F.col("valid") & (kind == "pdf"), "incoming pdf")
+        .when(~is_out & F.col("valid") & (kind == "word") & ~F.col("_twin"), "word without pdf twin")
     )
-    out = None
-    for part, reason in parts:
-        rows = part.select(*columns, F.lit(reason).alias("reason"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return marked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*files.columns, "kind", "reason")
 
 
 def unseen(listing: DataFrame, history: DataFrame) -> DataFrame:
     """Listing rows with a number that the history of their direction does not hold."""
     keys = ["direction", "doc_no"]
-    known = history.select(*keys).distinct()
+    known = history.select(*keys)
     return listing.where(F.coalesce("doc_no", F.lit("")) != "").join(known, keys, "left_anti")
 
 

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from dossier.operators import layout as L
 from dossier.plans.layout import check_layout
 from dossier.queries.tables import spread, table
+from dossier.session import scratch_path
+
+
+def _rules(spark):
+    """The rules, written to a file and read back as a site would keep them."""
+    path = scratch_path(spark, "rules")
+    L.default_rules(spark).write.json(path)
+    return L.read_rules(spark, path)
 
 
 def _sections(spark, sf_dir):
@@ -141,7 +149,7 @@ spacing AS (SELECT doc_id, 'spacing' AS kind, 'đoạn ' || para AS position, CA
 
 
 def q_margins(spark, sf_dir):
-    return L.margin_issues(_order_sections(spark, sf_dir), L.default_rules(spark))
+    return L.margin_issues(_order_sections(spark, sf_dir), _rules(spark))
 
 
 def q_styles(spark, sf_dir):
@@ -150,11 +158,11 @@ def q_styles(spark, sf_dir):
 
 def q_runs(spark, sf_dir):
     effective = L.effective_runs(_runs(spark, sf_dir), _paragraphs(spark, sf_dir), _styles(spark, sf_dir))
-    return L.bad_runs(effective, L.default_rules(spark))
+    return L.bad_runs(effective, _rules(spark))
 
 
 def q_spacing(spark, sf_dir):
-    return L.spacing_issues(_paragraphs(spark, sf_dir), L.default_rules(spark))
+    return L.spacing_issues(_paragraphs(spark, sf_dir), _rules(spark))
 
 
 def _checked(spark, sf_dir):
@@ -175,7 +183,7 @@ def q_verdict(spark, sf_dir):
 def q_margin_verdict(spark, sf_dir):
     """Verdict by margins alone, over every order."""
     sections = _order_sections(spark, sf_dir)
-    return L.verdicts(sections.select("doc_id"), L.margin_issues(sections, L.default_rules(spark)))
+    return L.verdicts(sections.select("doc_id"), L.margin_issues(sections, _rules(spark)))
 
 
 ALL_ISSUES = RUNS + ",\nissues AS (SELECT * FROM repeated UNION ALL SELECT * FROM spacing UNION ALL " \

@@ -10,7 +10,7 @@ from dossier.operators import dedupe as D
 from dossier.operators import selection as S
 from dossier.plans.ingest import ingest
 from dossier.plans.selection import fetch_plan
-from dossier.queries.tables import spread, table
+from dossier.queries.tables import WINDOW_CHUNKS, spread, table, window_chunks
 from dossier.queries.texts import sql_strip
 from dossier.session import scratch_path
 from dossier.sources.store import Store
@@ -181,7 +181,31 @@ def q_ingest_stream(spark, sf_dir):
     return store.documents().select("sha256", F.length("full_text").alias("n_chars"))
 
 
+def q_stored_chunks(spark, sf_dir):
+    """Windows of all documents appended to the store, the batch replayed, then read back."""
+    store = Store(spark, scratch_path(spark, "store"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("direction"))
+    chunks = window_chunks(spark, sf_dir).join(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
+    for _ in range(2):
+        store.write_chunks(chunks, "first")
+    return store.chunks().select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "pos", "text", "direction")
+
+
+def q_stored_history(spark, sf_dir):
+    """Numbers seen in two batches, kept per direction, then read back from the store."""
+    store = Store(spark, scratch_path(spark, "store"))
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("direction"), F.concat(F.col("user_id").cast("string"), F.lit("/KH-UBND")).alias("doc_no"),
+        (F.col("event_id") % 2).alias("half"),
+    )
+    for half in (0, 1):
+        store.write_history(events.where(F.col("half") == half), f"batch-{half}")
+    return store.history().select("direction", "doc_no").distinct()
+
+
 QUERIES = {
+    "stored_chunks": q_stored_chunks,
+    "stored_history": q_stored_history,
     "pick_main_file": q_pick_main_file,
     "no_twin": q_no_twin,
     "select_attachments": q_select_attachments,
@@ -196,6 +220,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "stored_chunks": "WITH " + WINDOW_CHUNKS + " SELECT c.*, d.lang AS direction FROM window_chunks c JOIN documents d USING (doc_id)",
+    "stored_history": "SELECT DISTINCT event_type AS direction, user_id || '/KH-UBND' AS doc_no FROM events",
     "pick_main_file": FILES + " SELECT doc_no, path, kind, size FROM main_file",
     "no_twin": FILES + " SELECT doc_no, path, kind FROM no_twin",
     "select_attachments": FILES + f"""

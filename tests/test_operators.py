@@ -17,6 +17,7 @@ from dossier.operators.citations import citation_edges, extract_citations, resol
 from dossier.operators.dense import dense_topk
 from dossier.operators.fusion import rrf
 from dossier.operators.fuzzy import fuzzy_topk
+from dossier.operators.sparse import sparse_topk
 from dossier.plans.layout import check_layout
 from dossier.plans.selection import select_from_folder
 
@@ -264,3 +265,41 @@ def test_listing_keeps_undated_last(spark):
     tags = spark.createDataFrame([(["a", "b"],), ([],), (None,), (["a"],)], "tags array<string>")
     assert [tuple(r) for r in stats.top_tags(tags, "tags").collect()] == [("a", 2), ("b", 1)]
     assert docs.where(F.col("id") > 3).count() == 0
+
+
+def test_fuzzy_on_codes_with_one_suffix(spark):
+    codes = [(i, f"{i}/2020/QĐ-UBND") for i in range(400)]
+    corpus = spark.createDataFrame(codes, "doc_id long, doc_no string")
+    probes = spark.createDataFrame([(c,) for _, c in codes[::7]], "probe string")
+    got = {}
+    for r in fuzzy_topk(probes, corpus, skip_equal=True).collect():
+        got.setdefault(r.probe, []).append((r.match_rank, r.match_id, round(r.similarity, 9)))
+    sets = {c: {g for w in c.lower().replace("/", " ").replace("-", " ").split() for g in (("  " + w + " ")[i : i + 3] for i in range(len(w) + 1))} for _, c in codes}
+    for _, code in codes[::7]:
+        scored = sorted((-len(sets[code] & sets[c]) / len(sets[code] | sets[c]), i) for i, c in codes if c != code)
+        assert sorted(got[code]) == [(k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(scored[:3])]
+
+
+def test_insert_status_of_two_texts_on_one_path(spark):
+    batch = spark.createDataFrame([("h1", "p"), ("h2", "p"), ("h2", "q")], "sha256 string, path string")
+    got = sorted((r.sha256, r.path, r.status) for r in D.insert_status(batch, batch.limit(0), "path").collect())
+    assert got == [("h1", "p", "inserted"), ("h2", "p", "inserted"), ("h2", "q", "duplicate")]
+
+
+def test_empty_filter_is_absent_in_both_lists(spark):
+    chunks = spark.createDataFrame([(1, "one two", [1.0, 0.0], "x"), (2, "two three", [0.0, 1.0], None)], "chunk_id long, text string, embedding array<float>, doc_type string")
+    queries = spark.createDataFrame([(1, "two", [1.0, 1.0], ""), (2, "two", [1.0, 1.0], "x")], "query_id long, text string, embedding array<float>, doc_type string")
+    dense = sorted((r.query_id, r.chunk_id) for r in dense_topk(queries, chunks, 5, filters=["doc_type"]).collect())
+    sparse = sorted((r.query_id, r.chunk_id) for r in sparse_topk(queries, chunks, 5, filters=["doc_type"]).collect())
+    assert dense == sparse == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_cut_and_narrowed_totals_are_reported(spark):
+    docs = spark.createDataFrame([(i, None, "t") for i in range(80)], "doc_id long, issued_on date, doc_type string")
+    questions = spark.createDataFrame([("all", ""), ("typed", "t"), ("none", "u")], "question_id string, doc_type string").selectExpr(
+        "*", "CAST(NULL AS DATE) AS date_from", "CAST(NULL AS DATE) AS date_to", "'count' AS agg")
+    pairs = G.candidates(questions, docs, 60)
+    hits = spark.createDataFrame([("all", i) for i in range(5)], "question_id string, doc_id long")
+    none = spark.createDataFrame([], "question_id string, doc_id long, found boolean, value string, unit string, evidence string")
+    got = {r.question_id: (r.n_docs_scanned, r.truncated, r.narrowed) for r in G.totals(questions, G.narrow(pairs, hits), none).collect()}
+    assert got == {"all": (5, True, True), "typed": (60, True, False), "none": (0, False, False)}
