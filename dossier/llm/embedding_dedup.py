@@ -61,7 +61,7 @@ def _assign(reach: float):
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"cell": [], "home": [], "rep": [], "w": [], "v": []})
+            return left.iloc[:0][["cell", "home", "rep", "w", "v"]]
         right = right.sort_values("pivot")
         x, p = _matrix(left["v"]), _matrix(right["v"])
         d = np.sqrt(np.maximum(2.0 - 2.0 * (x @ p.T), 0.0))
@@ -93,6 +93,7 @@ def cells(units: DataFrame, alike: float = ALIKE) -> DataFrame:
         open_rows = state.join(split, "cell")
         draw = F.pmod(F.xxhash64(F.lit(level), "rep"), F.lit(1 << 40)) / float(1 << 40)
         pivots = open_rows.where("home").where(draw < F.col("share")).select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rep").alias("pivot"), "v")
+        pivots = settle(pivots, "pivots")
         dealt = open_rows.select("cell", F.pmod(F.xxhash64("rep", F.lit(level)), F.col("salts")).cast("int").alias("salt"), "home", "rep", "w", "v")
         parted = settle(dealt.groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt")).applyInPandas(
             _assign(reach), "cell string, home boolean, rep long, w long, v array<double>",
@@ -112,7 +113,7 @@ def _block_links(alike: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = pdf[pdf["own"]], pdf[~pdf["own"]]
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"rep": [], "links": [], "to": []})
+            return pd.DataFrame({"rep": [], "links": [], "to": []}, dtype="int64")
         a, b = mine["rep"].to_numpy(), theirs["rep"].to_numpy()
         hit = (_matrix(mine["v"]) @ _matrix(theirs["v"]).T >= alike) & (a[:, None] != b[None, :])
         weight = hit @ theirs["w"].to_numpy().astype(np.float64)
