@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import mix, settle
+from dossier.llm.common import mix, settle, slices
 
 LEAST, MOST, MASK, MIN_RUN = 32, 256, 0b11 << 30, 96
 _GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -60,7 +60,7 @@ def chunks(docs: DataFrame, **sizes: int) -> DataFrame:
     rows = docs.where("length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, versions, hi, lo, start, size, n_bytes = [], [], [], [], [], [], []
             for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")

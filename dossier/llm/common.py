@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,32 @@ from dossier.session import scratch_path
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+# Rows of text that a Python worker gets at once, and that it turns into Python objects at once.
+TEXT_ROWS, SLICE_ROWS = "256", 256
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, a lost executor costs nothing.
 
     Unlike a checkpoint the table is columnar, compressed and of known size, so later joins are
-    planned on what it really holds.
+    planned on what it really holds. While it is written, row batches to Python workers are kept
+    small, because one row may hold a very long text.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, TEXT_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
 
 
 def remainder(key: Column | str, n: int) -> Column:

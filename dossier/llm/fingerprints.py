@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import shingles, shuffle_width
+from dossier.llm.common import shingles, shuffle_width, slices
 from dossier.llm.omh import sketch
 
 KMER, SIZE, TUPLE = 6, 48, 2
@@ -40,7 +40,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -108,7 +108,7 @@ def compare_with_edits(docs: DataFrame, **sizes: int) -> DataFrame:
 
     def run(batches):
         held = None  # (part, id, text, signature) that waits for its successor
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text, part, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0] != part:

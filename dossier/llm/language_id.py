@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import remainder
+from dossier.llm.common import remainder, slices
 
 PROFILE, TOP, UNDETERMINED = 400, 300, "und"
 _EDGE, _BITS, _FLUSH = 1, np.uint64(21), 1 << 20
@@ -72,7 +72,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                 )
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = held.setdefault(lang, [])
                 parts.append(np.unique(grams(text), return_counts=True))
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], t
 
     def run(batches):
         judge = Judge(profiles)
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -152,7 +152,7 @@ def keep_identified(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFram
 
     def run(batches):
         judge = Judge(profiles)
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNDETERMINED and score > 0 for lang, score in found], pa.bool_()))
 

@@ -1,99 +1,93 @@
 """Near-duplicate documents by Order MinHash over five-word shingles, verified by banded alignment.
 
-Two texts are near copies if 1 - 2d / (m + n + d) >= 0.8, where d is the edit distance of their word
-sequences and m, n are their lengths. The subtracted term is a metric (the Steinhaus transform of
-edit distance), so distances to a common third text decide some pairs without alignment.
+Shingles are labelled with their occurrence number, so each is unique in its text. An alignment of
+two texts keeps M shingles in the same order; the texts are near copies if M / (m + n - M) >= 0.8 for
+m and n shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import settle, shingles, word_hashes
+from dossier.llm.common import mix, settle, shingles, slices, word_hashes
 from dossier.llm.graph import components
-from dossier.llm.omh import sketch
+from dossier.llm.omh import label_occurrences, sketch
 
-SHINGLE, SIZE, TUPLE, ALIKE = 5, 32, 2, 0.8
-FAR, UNSURE, LINKED = 0, 1, 2
+SHINGLE, SIZE, TUPLE, ALIKE, BANDS, MORE = 5, 48, 2, 0.8, 40, 8
 
 
-def banded_distance(a: list, b: list, band: int) -> int:
-    """Edit distance of two sequences if it is at most ``band``, else ``band + 1``.
+def longest_rise(values: np.ndarray) -> int:
+    """Length of the longest strictly rising subsequence."""
+    if (values[1:] > values[:-1]).all():
+        return len(values)
+    ends: list[int] = []
+    for v in values.tolist():
+        at = bisect_left(ends, v)
+        if at == len(ends):
+            ends.append(v)
+        else:
+            ends[at] = v
+    return len(ends)
+
+
+def labelled(text: str | None) -> np.ndarray:
+    return label_occurrences(shingles(word_hashes(text), SHINGLE))
+
 
-    One integer holds a column of the band as differences between neighbouring cells, so a column
-    costs a few operations on ``2 * band + 1`` bits.
+def near(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> bool:
+    """Whether two labelled shingle sequences are near copies.
+
+    An alignment that is near enough drops few shingles, so its matches lie inside a band around the
+    diagonal; matches outside are not looked at.
     """
-    m, n = len(a), len(b)
-    if abs(m - n) > band:
-        return band + 1
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    mask = (1 << (2 * band + 1)) - 1
-    top = 1 << (2 * band)
-    rises, falls = mask & ~((1 << band) - 1), 0
-    edge = min(band, m)  # the cell that is followed: down the band's lower edge, then along the last row
-    for j in range(1, n + 1):
-        shift = j - band - 1
-        hits = where.get(b[j - 1], 0)
-        same = ((hits >> shift) if shift >= 0 else (hits << -shift)) & mask
-        level = ((((same & rises) + rises) ^ rises) | same | falls) & mask
-        right_up = falls | (mask & ~(level | rises))
-        right_down = level & rises
-        if j + band <= m:
-            edge += not level & top
-        else:
-            at = m - j + band
-            edge += (right_up >> at & 1) - (right_down >> at & 1)
-        down = level >> 1
-        rises, falls = right_down | (mask & ~(down | right_up)), down & right_up
-    return min(edge, band + 1)
-
-
-def compare(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> int:
-    """LINKED; UNSURE if a third text may be near both; FAR if none can (distance over twice the limit)."""
-    m, n = len(a), len(b)
-    limit = 1 - alike
-    reach = lambda t: int(t * (m + n) / (2 - t) + 1e-9)  # noqa: E731  largest d within distance t
-    if not m or not n:
-        return LINKED if m == n else FAR
-    band = reach(2 * limit)
-    values, counts = np.unique(np.concatenate((a, b)), return_counts=True)
-    own = np.searchsorted(values, a)
-    shared = np.bincount(own, minlength=len(values))
-    if max(m, n) - int(np.minimum(shared, counts - shared).sum()) > band:
-        return FAR
-    k = min(m, n)
-    differ = np.flatnonzero(a[:k] != b[:k])
-    head = int(differ[0]) if len(differ) else k
-    back = np.flatnonzero(a[m - k + head :][::-1] != b[n - k + head :][::-1])
-    tail = int(back[0]) if len(back) else k - head
-    d = banded_distance(a[head : m - tail].tolist(), b[head : n - tail].tolist(), band)
-    return LINKED if d <= reach(limit) else UNSURE if d <= band else FAR
+    total = len(a) + len(b)
+    common, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not total or len(common) < alike * (total - len(common)) - 1e-9:
+        return False
+    order = np.argsort(at_a)
+    at_a, at_b = at_a[order], at_b[order]
+    kept = longest_rise(at_b[np.abs(at_a - at_b) <= (1 - alike) / (1 + alike) * total + 1])
+    return kept >= alike * (total - kept) - 1e-9
+
+
+_PICKED = np.array([sorted(random.Random(i).sample(range(SIZE), 3)) for i in range(BANDS)])
+
+
+def _bands(words: np.ndarray) -> np.ndarray:
+    if not len(words):
+        return words
+    parts = sketch(shingles(words, SHINGLE), SIZE, TUPLE)[_PICKED]
+    out = np.arange(BANDS, dtype=np.uint64)
+    for i in range(3):
+        out = mix(out ^ parts[:, i])
+    return out
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, keys``: digest of the word sequence (of the text if it has no words) and the bands.
 
-    Texts that agree in all words are exact copies here; null counts as empty; texts without words
-    have no bands.
+    A band is three components of the sketch. Texts that only share a passage agree in few components, near
+    copies in most, and three at once tell them apart: at likeness 0.8 a pair misses all bands with
+    a chance below 0.0001. Texts that agree in all words are exact copies here; null counts as empty;
+    texts without words have no bands.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             digests, keys = [], []
             for text in batch.column(1).to_pylist():
                 words = word_hashes(text)
                 known = words.tobytes() if len(words) else text.encode("utf-8", "surrogatepass")
                 digests.append(hashlib.blake2b(known, digest_size=16).digest())
-                bands = sketch(shingles(words, SHINGLE), SIZE, TUPLE) if len(words) else words
-                keys.append((bands + np.arange(len(bands), dtype=np.uint64)).astype(np.int64))
+                keys.append(_bands(words).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"],
             )
@@ -102,7 +96,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, state`` of every pair by alignment of the whole texts."""
+    """``a, b, linked`` of every pair by alignment of the whole texts."""
     needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
     texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(needed, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -111,71 +105,65 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last, words = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             states = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != last:
-                    last, words = b, word_hashes(b)
-                states.append(compare(word_hashes(a), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.int32())], names=["a", "b", "state"])
+                    last, words = b, labelled(b)
+                states.append(near(labelled(a), words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.bool_())], names=["a", "b", "linked"])
 
-    return settle(both.mapInArrow(run, "a long, b long, state int").groupBy("a", "b").agg(F.max("state").alias("state")), "verified")
+    return settle(both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """``key, a, b``: each member of a bucket with the bucket's centre (most company, then smallest id).
+def _star(members: DataFrame, centres: int) -> DataFrame:
+    """``key, a, b``: each member of a bucket with the bucket's centres (most company, then smallest id).
 
-    Centres are found by an aggregate that combines before the shuffle and are written, so the join
-    back on a bucket of any size is one that adaptive execution can split.
+    Centres are cut out in each task before the shuffle and are written, so the join back on a bucket of any
+    size is one that adaptive execution can split.
     """
-    centre = F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("b")
-    centres = settle(members.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
-    return settle(members.join(centres, "key").where("doc_id <> b").select("key", F.col("doc_id").alias("a"), "b", "company"), "stars")
+    order = Window.partitionBy("key").orderBy(F.desc("company"), "doc_id")
+    chosen = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= centres).select("key", F.col("doc_id").alias("b"))
+    return settle(members.join(settle(chosen, "centres"), "key").where("doc_id <> b").select("key", F.col("doc_id").alias("a"), "b"), "stars")
 
 
-def _open(stars: DataFrame, states: DataFrame) -> DataFrame:
-    """Members whose bucket may hold links that its centre did not show.
-
-    Without an unsure member, no linked one can be near a far one, and the far ones stay among
-    themselves. With one, all but the centre stay.
-    """
-    seen = settle(stars.join(states, ["a", "b"]).select("key", "a", "company", "state"), "seen")
-    unsure = seen.where(F.col("state") == UNSURE).select("key").distinct()
-    rest = seen.where(F.col("state") != LINKED).unionByName(seen.where(F.col("state") == LINKED).join(unsure, "key", "left_semi"))
-    return settle(rest.select("key", F.col("a").alias("doc_id"), "company", "state"), "open")
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one document, with the company each document keeps in all."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = settle(keyed.join(counts, "key").select("key", "doc_id", "n"), "members")
+    return members.drop("n").join(members.groupBy("doc_id").agg(F.sum("n").alias("company")), "doc_id")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b``: near copies among distinct texts ``reps(rep, keys)``, enough to connect every class.
+    """``a, b``: near copies among distinct texts ``reps(rep, keys)``, enough to connect the classes.
 
-    Buckets of equal tuples are resolved by stars: every member is aligned with the bucket's centre.
-    What a star leaves open gets a second centre. Pairs that are open then are compared one by one
-    if they share two tuples, unless known links join them already.
+    Buckets of equal bands are resolved by stars: members are aligned with the bucket's centre, so a
+    round costs at most as many alignments as there are members, however large a bucket is.
+    Buckets that still hold several classes get ``MORE`` further centres in each round, and only
+    members outside a centre's class are aligned with it, until every bucket is one class or a round
+    joins nothing more.
     """
-    exploded = reps.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = settle(exploded.join(shared, "key").select("key", "doc_id", "n"), "members")
-    company = members.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    stars = _star(members.drop("n").join(company, "doc_id"))
-    found = states = verify(stars.select("a", "b").distinct(), docs)
-    rest = _open(stars, states)
-    if not rest.isEmpty():
-        stars = _star(rest.drop("state"))
-        states = verify(stars.select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), docs).unionByName(found)
-        rest = _open(stars, states)
-        found = states
-    joined = found.where(F.col("state") == LINKED).select("a", "b")
-    if rest.isEmpty():
-        return joined
-    classes = components(joined)
-    rest = settle(rest.join(classes, rest["doc_id"] == classes["node"], "left").select("key", "doc_id", "state", F.coalesce("component", "doc_id").alias("component")), "rest")
-    left, right = (rest.select("key", F.col("doc_id").alias(x), F.col("state").alias(f"state_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
-    pairs = (
-        left.join(right, "key").where(f"a < b AND component_a <> component_b AND NOT (state_a = {LINKED} AND state_b = {LINKED})")
-        .groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    )
-    more = verify(settle(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), docs)
-    return joined.unionByName(more.where(F.col("state") == LINKED).select("a", "b"))
+    members = settle(_shared(reps.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key"))), "open")
+    tried = joined = None
+    while True:
+        stars = _star(members, 1 if tried is None else MORE)
+        pairs = stars.select("a", "b").distinct()
+        if tried is not None:
+            of = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"class_{x}"))
+            apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        new = verify(settle(pairs, "pairs"), docs)
+        tried = new if tried is None else tried.unionByName(new)
+        joined = tried.where("linked").select("a", "b")
+        if new.where("linked").isEmpty():
+            return joined
+        known = components(joined)
+        classed = members.join(known, members["doc_id"] == known["node"], "left").select("key", "doc_id", "company", F.coalesce("component", "doc_id").alias("class"))
+        mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+        done = stars.select("key", F.col("b").alias("doc_id")).distinct()
+        members = settle(classed.drop("class").join(mixed, "key", "left_semi").join(done, ["key", "doc_id"], "left_anti"), "open")
+        if members.isEmpty():
+            return joined
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import remainder, settle
+from dossier.llm.common import remainder, settle, slices
 
 SHRINK, RIDGE = 0.2, 1e-3
 STATISTICS = (
@@ -53,7 +53,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
@@ -108,7 +108,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", **regul
 
     def run(batches):
         sums = {0: np.zeros((d + 1, d + 1)), 1: np.zeros((d + 1, d + 1))}
-        for batch in batches:
+        for batch in slices(batches):
             y = batch.column(0).to_numpy(zero_copy_only=False)
             x = np.ones((len(y), d + 1))
             x[:, 1:] = np.array(batch.column(1).to_pylist()).reshape(len(y), d)
@@ -132,7 +132,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
     """``doc_id, score`` for every row of ``stats``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array(batch.column(1).to_pylist()).reshape(batch.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
