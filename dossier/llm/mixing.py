@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dossier.llm.common import settle
 
 WORD, TAIL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
-BLOCK, SHARD, SEED, CHUNK = 64, 1 << 14, 17, 4096
+BLOCK, SHARD, SEED, CHUNK, BUCKET = 64, 1 << 14, 17, 4096, 1024
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
@@ -95,9 +95,9 @@ def layout(docs: DataFrame, *keys: str) -> DataFrame:
     """``keys, source, size, start``: each row's words and where they begin in its source.
 
     The order inside a source is by hashed bucket, then by key. Running sums are taken inside a
-    bucket (about 4,096 rows, however large the source) and over the buckets' sums.
+    bucket (about 1,024 rows, however large the source) and over the buckets' sums.
     """
-    buckets = max(1, -(-docs.count() // CHUNK))
+    buckets = max(1, -(-docs.count() // BUCKET))
     rows = docs.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     inside = Window.partitionBy("source", "bucket").orderBy(*keys, "size").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +133,8 @@ def pieces(sizes: DataFrame, plan: DataFrame, *keys: str, block: int = BLOCK) ->
         "words": F.least((F.col("block") + 1) * block, end) - F.greatest(F.col("block") * block, F.col("start")),
     })
     times = slots(plan).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    return parts.join(times, ["rank", "block"], "left").select(*keys, "size", "rank", "start", "at", "words", F.coalesce("times", F.lit(0)).alias("times"))
+    # Both sides have a row for every block; their size cannot be seen in the table of sources they come from.
+    return parts.join(times.hint("merge"), ["rank", "block"], "left").select(*keys, "size", "rank", "start", "at", "words", F.coalesce("times", F.lit(0)).alias("times"))
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str
     )
     aliases = classes.join(blocked, "component", "left").select("node", F.col("component").alias("alias_of"), "blocked")
     return (
-        rows.join(judged, ["host", "path"], "left").join(aliases, "node", "left")
+        # A row for each distinct place: it grows with the pages, so it is never sent around.
+        rows.join(judged.hint("merge"), ["host", "path"], "left").join(aliases, "node", "left")
         .select(
             id_col, "host", "path", "rule",
             F.coalesce("verdict", F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict"),
