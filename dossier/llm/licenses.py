@@ -10,11 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import bound
-
-ALIKE = 0.8
-
-# Notices by which public licences are declared.
+from dossier.llm.license_texts import TEXTS
+
+ALIKE, LONG = 0.8, 500
+
+# How a licence is named and declared in one line.
+_LEADS = tuple(f"{subject}{verb} under" for subject in ("", "This project is ", "This work is ", "This software is ") for verb in ("Licensed", "Released", "Distributed"))
+_NAMES = (
+    ("MIT", "the MIT License"), ("Apache-2.0", "the Apache License, Version 2.0"), ("Apache-2.0", "the Apache License 2.0"),
+    ("GPL-3.0", "the GNU General Public License, version 3"), ("GPL-3.0", "the GNU GPL v3"), ("GPL-3.0", "the GPL-3.0 License"),
+    ("GPL-2.0", "the GNU General Public License, version 2"), ("GPL-2.0", "the GNU GPL v2"), ("GPL-2.0", "the GPL-2.0 License"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3"), ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3"), ("MPL-2.0", "the Mozilla Public License, version 2.0"), ("MPL-2.0", "the Mozilla Public License 2.0"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"), ("BSD-2-Clause", "the BSD 2-Clause License"), ("BSD", "the BSD License"), ("ISC", "the ISC License"),
+    ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"), ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"), ("CC0-1.0", "CC0 1.0"),
+    ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License"), ("CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"), ("CC-BY-ND-4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+)
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+# Notices by which public licences are declared, and the licences' own texts.
 TEMPLATES = (
+    *((name, f"{lead} {title}.") for name, title in _NAMES for lead in _LEADS),
+    *TEXTS,
+    *((name, f"This {what} {_GNU.format(title, version)}") for what in ("program", "library") for name, title, version in (
+        ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"),
+    )),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Licensed under the MIT License."),
@@ -68,22 +92,32 @@ def best_match(unit: Column, templates: list[tuple[str, list[str]]], alike: floa
     """Struct (dice, license) of the nearest template, null below ``alike``.
 
     |A| and |B| bigrams can only reach ``alike`` if alike/(2-alike) <= |A|/|B| <= (2-alike)/alike, so the number of words, which
-    bounds |A| from above, and then |A| itself rule out templates before any set is compared.
+    bounds |A| from above, and then |A| itself rule out templates before any set is compared. As many of the unit's own
+    bigrams must be ones of the templates at all; a hash set of those of the short templates tells it for units that no
+    long one (``LONG`` bigrams) can meet.
     """
     ratio = alike / (2 - alike) - 1e-9  # bounds are met by a hair, never missed by rounding
     least = ratio * min((len(b) for _, b in templates), default=1)
-    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("grams")) for name, b in templates])
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = [f"struct({quoted(name)} AS license, {len(b)} AS n, split({quoted('|'.join(b))}, '[|]') AS grams)" for name, b in templates]
+    table = F.expr(f"array({', '.join(rows)})")  # one expression: a call per template and bigram would take seconds
+    short = sorted({g for _, b in templates if len(b) < LONG for g in b})
 
-    def against(grams: Column) -> Column:
-        n = F.size(grams)
+    def against(pair: Column) -> Column:
+        n, grams = pair["n"], pair["grams"]
         near = F.filter(table, lambda t: (n >= ratio * t["n"]) & (n <= t["n"] / ratio))
         dice = lambda t: (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (n + t["n"])).alias("dice")
         scored = F.filter(F.transform(near, lambda t: F.struct(dice(t), t["license"].alias("license"))), lambda s: s["dice"] >= alike)
         best = F.array_max(F.transform(scored, lambda s: s["dice"]))
         return F.get(F.array_sort(F.filter(scored, lambda s: s["dice"] == best)), F.lit(0))
 
+    def known(grams: Column) -> Column:
+        own = F.when(F.size(grams) < ratio * LONG, F.filter(grams, lambda g: g.isin(short))).otherwise(grams)
+        pair = F.struct(F.size(grams).alias("n"), own.alias("grams"))
+        return F.get(F.transform(F.filter(F.array(pair), lambda p: F.size(p["grams"]) >= ratio * p["n"]), against), F.lit(0))
+
     def sized(words: Column) -> Column:
-        return F.when(F.size(words) - 1 >= least, F.get(F.transform(F.array(bigrams(words)), against), F.lit(0)))
+        return F.when(F.size(words) - 1 >= least, F.get(F.transform(F.array(bigrams(words)), known), F.lit(0)))
 
     return F.get(F.transform(F.array(words_of(unit)), sized), F.lit(0))
 

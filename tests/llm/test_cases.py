@@ -120,6 +120,30 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs, templates=()).where("license IS NOT NULL").count() == 0
 
 
+def test_licence_lines_and_published_texts(spark):
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+        "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+        "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    )
+    apache = (
+        "Copyright 2021 The Example Authors\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+        "You may obtain a copy of the License at"
+    )
+    bsd = next(t for name, t in licenses.TEXTS if name == "BSD-2-Clause")
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    body = next(t for name, t in licenses.TEXTS if name == "Apache-2.0" and len(t) > 5000)
+    lines = [
+        ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("All rights reserved.", "Proprietary"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        (mit, "MIT"), (apache, "Apache-2.0"), (lesser, "LGPL-2.1"),
+    ]
+    rows = [(i, f"some text before it\n\n{t}\n\nand more after it", name) for i, (t, name) in enumerate(lines)]
+    rows += [(100, f"Copyright (c) 2019 Some One. {bsd}", "BSD-2-Clause"), (101, body, "Apache-2.0")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
 def test_packing(docs, none):
     got = packing.pack_documents(docs, tokenizer_path()).collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in ROWS}
