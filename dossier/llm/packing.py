@@ -28,8 +28,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Fixed value: printable bytes stand for themselves in the vocabulary, the others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-# White space on which regular-expression libraries disagree: such texts take the plain way.
+# White space on which regular-expression libraries disagree, and runs of it so long that those of the faster library
+# overflow their stack: such texts take the plain way.
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
+_RUN = re.compile(r"\s{10000}")
 
 
 class _Encoder:
@@ -52,7 +54,7 @@ class _Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text) or any(s in text for s in self.special):
+        if _ODD.search(text) or _RUN.search(text) or any(s in text for s in self.special):
             return self.plain(text)
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 

@@ -231,6 +231,14 @@ def test_odd_texts_tokenise_as_the_library_does(spark):
         assert np.frombuffer(own(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_white_space_tokenises_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    exact, own = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    for text in ("a" + " " * 2_000_000 + "b", "a" + "\n" * 1_000_000 + "b", "a" + " \t" * 5_000 + "b", "a" + " " * 9_999 + "b"):
+        assert np.frombuffer(own(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def plain_chunks(text):
     raw = text.encode()
     gear = chunk_dedup._GEAR.tolist()
