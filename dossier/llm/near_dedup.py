@@ -21,6 +21,8 @@ from dossier.llm.graph import components
 from dossier.llm.omh import label_occurrences, sketch
 
 SHINGLE, SIZE, TUPLE, ALIKE, BANDS, MORE = 5, 48, 2, 0.8, 40, 8
+# Members of a block when a bucket's pairs are formed, and bins of the counts that bound what two texts share.
+CROWD, BINS = 1000, 128
 
 
 def longest_rise(values: np.ndarray) -> int:
@@ -74,8 +76,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, keys``: digest of the word sequence (of the text if it has no words) and the bands.
 
     A band is three components of the sketch. Texts that only share a passage agree in few components, near
-    copies in most, and three at once tell them apart: at likeness 0.8 a pair misses all bands with
-    a chance below 0.0001. Texts that agree in all words are exact copies here; null counts as empty;
+    copies in most, and three at once tell them apart: if components agree with a chance of 0.64, a pair
+    misses all bands with one of about 0.0005. Texts that agree in all words are exact copies here; null counts as empty;
     texts without words have no bands.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -116,6 +118,61 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
+def profiles(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, total, bins``: shingles of each text and how many of them fall into each of ``BINS`` bins (at most 255)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(reps, "doc_id", "left_semi")
+
+    def run(batches):
+        for batch in slices(batches):
+            totals, bins = [], []
+            for text in batch.column(1).to_pylist():
+                own = labelled(text)
+                totals.append(len(own))
+                bins.append(np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(bins, pa.binary())], names=["doc_id", "total", "bins"])
+
+    return settle(rows.mapInArrow(run, "doc_id long, total long, bins binary"), "profiles")
+
+
+def _may_be_near(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that can be near copies by the number of shingles and by what their bins have in common.
+
+    Both are upper bounds of the shingles that an alignment keeps, so no near copy is left out. Rows
+    that repeat an id may hold several texts; a pair stays if any two of them may be near.
+    """
+    of = lambda x: known.select(F.col("doc_id").alias(x), F.col("total").alias(f"total_{x}"), F.col("bins").alias(f"bins_{x}"))
+    long_enough = F.least("total_a", "total_b") >= ALIKE * F.greatest("total_a", "total_b") - 1e-6
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(long_enough).select("a", "b", "total_a", "total_b", "bins_a", "bins_b")
+
+    def run(batches):
+        for batch in slices(batches, 8192):
+            m, n = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            kept = np.minimum(x, y).sum(axis=1, dtype=np.int64) + m - x.sum(axis=1, dtype=np.int64)
+            may = pa.array(kept >= ALIKE * (m + n - kept) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(may)
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _rest(members: DataFrame, tried: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b``: every untried pair of different classes in the buckets ``members(key, doc_id, class)`` that may be near.
+
+    Large buckets are dealt into blocks and the pairs formed by pairs of blocks, so none lies in one task.
+    """
+    blocks = F.ceil(F.col("n") / CROWD).cast("int")
+    dealt = settle(
+        members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+        .select("key", "doc_id", "class", F.sequence(F.lit(0), blocks - 1).alias("all"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own")), "dealt",
+    )
+    left = dealt.select("key", F.col("own").alias("i"), F.explode("all").alias("j"), F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
+    right = dealt.select("key", F.explode("all").alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("b"), F.col("class").alias("class_b"))
+    pairs = left.join(right, ["key", "i", "j"]).where("a < b AND class_a <> class_b").select("a", "b").distinct()
+    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = settle(pairs.join(seen, ["a", "b"], "left_anti"), "rest")
+    return settle(_may_be_near(open_, profiles(members.select("doc_id").distinct(), docs)), "pairs")
+
+
 def _star(members: DataFrame, centres: int) -> DataFrame:
     """``key, a, b``: each member of a bucket with the bucket's centres (most company, then smallest id).
 
@@ -140,11 +197,11 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     Buckets of equal bands are resolved by stars: members are aligned with the bucket's centre, so a
     round costs at most as many alignments as there are members, however large a bucket is.
     Buckets that still hold several classes get ``MORE`` further centres in each round, and only
-    members outside a centre's class are aligned with it, until every bucket is one class or a round
-    joins nothing more.
+    members outside a centre's class are aligned with it, until a round joins nothing more. Then every
+    untried pair of different classes that a bucket still holds is aligned, so none is left out.
     """
     members = settle(_shared(reps.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key"))), "open")
-    tried = joined = None
+    tried = None
     while True:
         stars = _star(members, 1 if tried is None else MORE)
         pairs = stars.select("a", "b").distinct()
@@ -155,15 +212,16 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         new = verify(settle(pairs, "pairs"), docs)
         tried = new if tried is None else tried.unionByName(new)
         joined = tried.where("linked").select("a", "b")
-        if new.where("linked").isEmpty():
-            return joined
         known = components(joined)
         classed = members.join(known, members["doc_id"] == known["node"], "left").select("key", "doc_id", "company", F.coalesce("component", "doc_id").alias("class"))
         mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
         done = stars.select("key", F.col("b").alias("doc_id")).distinct()
-        members = settle(classed.drop("class").join(mixed, "key", "left_semi").join(done, ["key", "doc_id"], "left_anti"), "open")
-        if members.isEmpty():
+        left = settle(classed.join(mixed, "key", "left_semi").join(done, ["key", "doc_id"], "left_anti"), "open")
+        if left.isEmpty():
             return joined
+        if new.where("linked").isEmpty():
+            return joined.unionByName(verify(_rest(left, tried, docs), docs).where("linked").select("a", "b"))
+        members = left.drop("class")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -105,6 +105,20 @@ def test_near_dedup(spark):
     assert got == spread({i: i for i in range(len(texts))}, near)
 
 
+def test_crowded_bucket_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWD", 16)
+    rng = random.Random(8)
+    passage = words(rng, 80)
+    texts = [passage + words(rng, 45) for _ in range(60)]
+    texts += [edit(rng, texts[i], 0.01) for i in (57, 58, 59)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # One bucket holds all, and neither text of a near pair is among the centres of the first rounds.
+    reps = frame.select(F.col("doc_id").alias("rep"), F.array(F.lit(7).cast("long")).alias("keys"))
+    got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.links(reps, frame).collect()}
+    grams = [labels_of(t) for t in texts]
+    assert got == {(i, j) for j in range(len(texts)) for i in range(j) if alike(grams[i], grams[j]) >= 0.8} == {(57, 60), (58, 61), (59, 62)}
+
+
 def test_order_matters_to_the_sketch():
     a = word_hashes("one two three four five six seven eight nine ten eleven twelve")
     assert (sketch(a, 64) == sketch(a[::-1].copy(), 64)).mean() < 0.1
