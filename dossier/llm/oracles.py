@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import licenses
+from dossier.llm import collocations, licenses, line_rules
 
 
 def url_filters(rules: tuple[tuple[str, str], ...]) -> str:
@@ -88,3 +88,71 @@ found AS (
 named AS (SELECT b.doc_id, min(b.license) AS license FROM best b JOIN found f ON f.doc_id = b.doc_id AND f.dice = b.dice GROUP BY b.doc_id)
 SELECT d.doc_id, n.license, f.dice, coalesce(f.n_matches, 0) AS n_matches, coalesce(f.licenses, []) AS licenses
 FROM documents d LEFT JOIN found f USING (doc_id) LEFT JOIN named n USING (doc_id)"""
+
+
+def line_rules_sql() -> str:
+    """Lines, words and windows as rows; repeated windows by a count over the document."""
+    quoted = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    boiler = " OR ".join(f"contains(lower(line), '{p}')" for p in line_rules.BOILERPLATE)
+    word, symbols = "'[^\\x20\\x09-\\x0D]+'", "'[#*$%&|<>]'"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rid, regexp_extract_all(text, {word}) AS ws FROM docs),
+starts AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM words),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM starts),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM windows, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY rid),
+lines AS (SELECT rid, line, regexp_extract_all(line, {word}) AS ws FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)),
+tried AS (
+  SELECT rid, line, len(ws) AS n,
+    (right(ws[-1], 1) NOT IN ({quoted(line_rules.END_MARKS)})
+     AND {line_rules.PROSE_WORDS} * len(list_filter(ws, lambda w: right(w, 1) IN ({quoted(line_rules.END_MARKS)}))) < len(ws))
+    OR {line_rules.NAV_SHARE} * len(list_filter(ws, lambda w: w IN ({quoted(line_rules.NAV_MARKS)}))) >= len(ws)
+    OR 100 * len(regexp_extract_all(line, {symbols})) > {line_rules.SYMBOL_SHARE} * len(ws)
+    OR 100 * len(list_filter(ws, lambda w: right(w, 2) IN ({quoted(line_rules.SHOUTS)}))) >= {line_rules.SHOUT_SHARE} * len(ws)
+    OR (len(ws) <= {line_rules.BOILER_WORDS} AND ({boiler})) AS failed
+  FROM lines WHERE len(ws) > 0),
+by_doc AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup, count(*) FILTER (WHERE failed) AS n_failed,
+         coalesce(sum(n) FILTER (WHERE failed), 0) AS n_lost
+  FROM tried GROUP BY rid),
+measured AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, {symbols})) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_failed, 0) AS n_failed_lines,
+         CAST(coalesce(n_lost, 0) AS BIGINT) AS n_lost_words
+  FROM docs JOIN words USING (rid) LEFT JOIN covered c USING (rid) LEFT JOIN by_doc USING (rid))
+SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.REPEAT_SHARE} * n_words AS base_failed,
+       NOT (n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.REPEAT_SHARE} * n_words)
+       AND 100 * n_lost_words <= {line_rules.LOST_SHARE} * n_words AS kept
+FROM measured"""
+
+
+def collocations_sql() -> str:
+    """All phrases of up to three words counted and scored, without bounds."""
+    upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), {upper}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+one AS (SELECT lang, ws[i] AS x, count(*) AS f FROM places GROUP BY ALL),
+two AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, count(*) AS f FROM places WHERE i + 1 <= len(ws) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+three AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z, count(*) AS f FROM places WHERE i + 2 <= len(ws) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y AS phrase, 1 AS k, t.f AS a, p.f AS l, q.f AS r
+  FROM two t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y
+  LEFT JOIN longer g ON g.lang = t.lang AND g.x = t.x AND g.y = t.y
+  WHERE g.f IS NULL OR 100 * g.f < {collocations.SHARE} * t.f
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, 1, t.f, p.f, q.f
+  FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, 2, t.f, p.f, q.f
+  FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z),
+scored AS (SELECT *, (a::HUGEINT * a * {collocations.SCALE}) // (l::HUGEINT * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.LIMIT}"""

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import (
+    alignment,
     chunk_dedup,
+    collocations,
     embedding_dedup,
     fingerprints,
     language_id,
     licenses,
+    line_rules,
     mixing,
     near_dedup,
     oracles,
@@ -84,6 +87,25 @@ def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, profiles, ["doc_id", "held_out"])
 
 
+def q_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), *[c for c in rows.columns if c not in ("row", "clean_text")])
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def q_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
+
+
+def q_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": q_near_dedup,
     "op2_url_filters": q_urls,
@@ -95,9 +117,14 @@ QUERIES = {
     "op8_mixing": q_mixing,
     "op9_embedding_dedup": q_embeddings,
     "op10_language": q_language,
+    "op11_line_rules": q_line_rules,
+    "op12_alignment": q_alignment,
+    "op13_collocations": q_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filters": oracles.url_filters(URL_RULES),
     "op5_licenses": oracles.license_scan(),
+    "op11_line_rules": oracles.line_rules_sql(),
+    "op13_collocations": oracles.collocations_sql(),
 }
