@@ -11,7 +11,9 @@ from dossier.functions.text import probe
 from dossier.operators.dense import dense_topk
 from dossier.operators.fusion import context, draft_context, query_term_share, rerank, rrf, sources
 from dossier.operators.sparse import sparse_topk
+from dossier.operators.stored import dense_topk_stored, sparse_topk_stored
 from dossier.session import cut_lineage
+from dossier.sources.index import ChunkIndex
 
 
 def candidates(
@@ -23,6 +25,21 @@ def candidates(
     return rrf(dense, sparse, pool, **options)
 
 
+def candidates_stored(queries: DataFrame, index: ChunkIndex, pool: int, filters: Sequence[str] = (), **options) -> DataFrame:
+    """``candidates`` over a stored index; the filter columns are payload of the index."""
+    dense = dense_topk_stored(queries, index, 2 * pool, filters=filters)
+    sparse = sparse_topk_stored(queries, index, 2 * pool, filters=filters)
+    return rrf(dense, sparse, pool, **options)
+
+
+def search_stored(
+    queries: DataFrame, index: ChunkIndex, *, top: int = K.SEARCH_TOP, pool: int = K.SEARCH_POOL, filters: Sequence[str] = (), keep: Sequence[str] = (),
+    score: Callable[[Column, Column], Column] = query_term_share,
+) -> DataFrame:
+    """``hybrid_search`` over a stored index: texts and ``keep`` come from its chunks."""
+    return rerank(candidates_stored(queries, index, pool, filters), queries, index.chunks(), top, score=score, keep=keep)
+
+
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,

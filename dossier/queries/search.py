@@ -8,14 +8,21 @@ from dossier import constants as K
 from dossier.operators.dense import dense_topk
 from dossier.operators.fusion import context, rerank, rrf, sources
 from dossier.operators.sparse import sparse_topk, sparse_weights
-from dossier.plans.search import candidates, draft_check_context, hybrid_search
+from dossier.operators.stored import dense_topk_stored, sparse_topk_stored
+from dossier.plans.search import candidates, candidates_stored, draft_check_context, hybrid_search, search_stored
 from dossier.queries.tables import (
     CORPUS, QUERIES_CTE, WINDOW_CHUNKS, corpus, search_queries, spread, table, window_chunks,
 )
+from dossier.session import scratch_path
+from dossier.sources.index import ChunkIndex
 
 FILTERS = ("doc_type", "direction")
 
 
+def _index(spark) -> ChunkIndex:
+    return ChunkIndex(spark, scratch_path(spark, "index"))
+
+
 def q_dense_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     hits = dense_topk(
@@ -43,6 +50,37 @@ def q_sparse_topk(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.round("sparse_score", 6).alias("score"), "sparse_rank")
 
 
+def q_dense_topk_stored(spark, sf_dir):
+    """Every vector against all others, out of an index written from the table."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = _index(spark).write(vectors, chunk_id="vec_id", text=None)
+    hits = dense_topk_stored(vectors.withColumnRenamed("vec_id", "query_id"), index, 10, skip_same_id=True)
+    return hits.select("query_id", "chunk_id", F.round("dense_score", 6).alias("score"), "dense_rank")
+
+
+def q_sparse_topk_stored(spark, sf_dir):
+    index = _index(spark).write(window_chunks(spark, sf_dir), vector=None)
+    queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    hits = sparse_topk_stored(queries, index, 2 * K.SEARCH_POOL)
+    return hits.select("query_id", "chunk_id", F.round("sparse_score", 6).alias("score"), "sparse_rank")
+
+
+def _corpus_index(spark, sf_dir):
+    return _index(spark).write(corpus(spark, sf_dir), payload=[*FILTERS, "doc_no", "issued_on"])
+
+
+def q_hybrid_stored(spark, sf_dir):
+    fused = candidates_stored(search_queries(spark, sf_dir), _corpus_index(spark, sf_dir), K.SEARCH_POOL, FILTERS)
+    return fused.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "fused_rank")
+
+
+def q_context_stored(spark, sf_dir):
+    """The answer context again, from the index alone."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    hits = search_stored(search_queries(spark, sf_dir), _corpus_index(spark, sf_dir), filters=FILTERS, keep=["doc_no", "issued_on"])
+    return context(queries, hits)
+
+
 def _bm25_cte(chunks: str, filtered: bool, limit: int) -> str:
     condition = (
         "WHERE (q.doc_type IS NULL OR q.doc_type = c.doc_type)"
@@ -221,6 +259,10 @@ QUERIES = {
     "context": q_context,
     "sources": q_sources,
     "draft_context": q_draft_context,
+    "dense_topk_stored": q_dense_topk_stored,
+    "sparse_topk_stored": q_sparse_topk_stored,
+    "hybrid_stored": q_hybrid_stored,
+    "context_stored": q_context_stored,
 }
 
 ORACLE = {
@@ -233,4 +275,8 @@ ORACLE = {
     "context": _hybrid_cte(True, 24) + _rerank_cte(8) + CONTEXT_OUT,
     "sources": _hybrid_cte(False, 24) + _rerank_cte(8) + SOURCES_OUT,
     "draft_context": _hybrid_cte(False, 20) + _rerank_cte(6) + DRAFT_OUT,
+    "dense_topk_stored": DENSE_SQL,
+    "sparse_topk_stored": SPARSE_SQL,
+    "hybrid_stored": _hybrid_cte(True, 24) + RRF_OUT,
+    "context_stored": _hybrid_cte(True, 24) + _rerank_cte(8) + CONTEXT_OUT,
 }

@@ -21,7 +21,8 @@ def test_per_group_cut_runs_before_the_exchange(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - {"dense_topk"} - {
-    "rrf", "hybrid_filtered", "rerank", "context", "sources", "draft_context", "narrow_semi", "ingest_stream", "ingest_batch"}))
+    "rrf", "hybrid_filtered", "rerank", "context", "sources", "draft_context", "narrow_semi", "ingest_stream", "ingest_batch",
+    "dense_topk_stored", "hybrid_stored", "context_stored"}))
 def test_no_python_in_the_plan_and_no_cross_join(spark, sf_dir, name):
     text = plan(queries()[name](spark, sf_dir))
     for word in ("Python", "MapInArrow", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"):
