@@ -13,16 +13,16 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import mix, settle, shingles, slices, word_hashes
 from dossier.llm.graph import components
 from dossier.llm.omh import label_occurrences, sketch
 
-SHINGLE, SIZE, TUPLE, ALIKE, BANDS, MORE = 5, 48, 2, 0.8, 40, 8
-# Members of a block when a bucket's pairs are formed, and bins of the counts that bound what two texts share.
-CROWD, BINS = 1000, 128
+SHINGLE, SIZE, TUPLE, ALIKE, BANDS = 5, 48, 2, 0.8, 40
+# Members and shingles of a block when a bucket's pairs are compared, and the size of the matrices used for it.
+CROWD, GRAMS, ROWS, COLUMNS = 1000, 1 << 20, 256, 2048
 
 
 def longest_rise(values: np.ndarray) -> int:
@@ -72,6 +72,10 @@ def _bands(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(text: str, words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes() if len(words) else text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, keys``: digest of the word sequence (of the text if it has no words) and the bands.
 
@@ -87,8 +91,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             digests, keys = [], []
             for text in batch.column(1).to_pylist():
                 words = word_hashes(text)
-                known = words.tobytes() if len(words) else text.encode("utf-8", "surrogatepass")
-                digests.append(hashlib.blake2b(known, digest_size=16).digest())
+                digests.append(_digest(text, words))
                 keys.append(_bands(words).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"],
@@ -118,69 +121,107 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
-def profiles(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, total, bins``: shingles of each text and how many of them fall into each of ``BINS`` bins (at most 255)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(reps, "doc_id", "left_semi")
-
-    def run(batches):
-        for batch in slices(batches):
-            totals, bins = [], []
-            for text in batch.column(1).to_pylist():
-                own = labelled(text)
-                totals.append(len(own))
-                bins.append(np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(bins, pa.binary())], names=["doc_id", "total", "bins"])
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], classes_left: np.ndarray, classes_right: np.ndarray) -> np.ndarray:
+    """Labelled shingles that each left text has in common with each right text of another class.
 
-    return settle(rows.mapInArrow(run, "doc_id long, total long, bins binary"), "profiles")
+    Only shingles that stand in more than one class are counted, by products of 0/1 matrices.
+    """
+    side = np.concatenate(left + right)
+    text = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    order = np.argsort(side, kind="stable")
+    fresh = np.flatnonzero(np.diff(side[order], prepend=side[order][:1] - np.uint64(1)) != 0)
+    owner = np.concatenate((classes_left, classes_right))[text[order]]
+    apart = np.minimum.reduceat(owner, fresh) != np.maximum.reduceat(owner, fresh) if len(fresh) else np.zeros(0, bool)
+    column = np.repeat(np.cumsum(apart) - 1, np.diff(fresh, append=len(order)))
+    used = np.repeat(apart, np.diff(fresh, append=len(order)))
+    column, text = column[used], text[order][used]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(apart.sum()), COLUMNS):
+        here = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        held = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        held[text[here], column[here] - low] = 1
+        common += held[: len(left)] @ held[len(left) :].T
+    return common
+
+
+def _resolve(ids: np.ndarray, classes: np.ndarray, keys: list[np.ndarray], grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, key: int) -> list[tuple[int, int]]:
+    """Near copies ``(a, b)`` between members ``left`` and ``right`` of one bucket that join their classes.
+
+    A pair is aligned only if the shingles in common allow it, if no earlier bucket holds it too, and
+    if the links found so far do not join it already.
+    """
+    size = np.array([len(g) for g in grams], np.int64)
+    parent = {c: c for c in np.unique(classes).tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for low in range(0, len(left), ROWS):
+        part = left[low : low + ROWS]
+        common = _shared_counts([grams[i] for i in part], [grams[j] for j in right], classes[part], classes[right])
+        may = common >= ALIKE * (size[part][:, None] + size[right][None, :] - common) - 1e-3
+        may &= (classes[part][:, None] != classes[right][None, :]) & (common > 0)
+        for x, y in zip(*np.nonzero(may), strict=True):
+            a, b = part[x], right[y]
+            first, second = root(int(classes[a])), root(int(classes[b]))
+            if first != second and np.intersect1d(keys[a], keys[b], assume_unique=True)[0] == key and near(grams[a], grams[b]):
+                parent[first] = second
+                out.append((int(ids[a]), int(ids[b])))
+    return out
 
 
-def _may_be_near(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that can be near copies by the number of shingles and by what their bins have in common.
+def _rest(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b``: near copies of different classes in the buckets ``members(key, doc_id, class)``, enough to join them.
 
-    Both are upper bounds of the shingles that an alignment keeps, so no near copy is left out. Rows
-    that repeat an id may hold several texts; a pair stays if any two of them may be near.
+    Every pair that a bucket holds is compared inside a task by its labelled shingles; no row stands
+    for a pair. Large buckets (by members or shingles) are dealt into blocks, and a task takes two
+    blocks, so none lies in one task.
     """
-    of = lambda x: known.select(F.col("doc_id").alias(x), F.col("total").alias(f"total_{x}"), F.col("bins").alias(f"bins_{x}"))
-    long_enough = F.least("total_a", "total_b") >= ALIKE * F.greatest("total_a", "total_b") - 1e-6
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(long_enough).select("a", "b", "total_a", "total_b", "bins_a", "bins_b")
+    open_ = settle(members.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys")), "needed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(open_.select("doc_id"), "doc_id", "left_semi")
 
     def run(batches):
-        for batch in slices(batches, 8192):
-            m, n = (batch.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-            kept = np.minimum(x, y).sum(axis=1, dtype=np.int64) + m - x.sum(axis=1, dtype=np.int64)
-            may = pa.array(kept >= ALIKE * (m + n - kept) - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(may)
-
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def _rest(members: DataFrame, tried: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b``: every untried pair of different classes in the buckets ``members(key, doc_id, class)`` that may be near.
+        for batch in slices(batches):
+            own = [labelled(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(g) for g in own], pa.int64()), pa.array([g.tobytes() for g in own], pa.binary())], names=["doc_id", "total", "grams"],
+            )
 
-    Large buckets are dealt into blocks and the pairs formed by pairs of blocks, so none lies in one task.
-    """
-    blocks = F.ceil(F.col("n") / CROWD).cast("int")
-    dealt = settle(
-        members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-        .select("key", "doc_id", "class", F.sequence(F.lit(0), blocks - 1).alias("all"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own")), "dealt",
-    )
-    left = dealt.select("key", F.col("own").alias("i"), F.explode("all").alias("j"), F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
-    right = dealt.select("key", F.explode("all").alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("b"), F.col("class").alias("class_b"))
-    pairs = left.join(right, ["key", "i", "j"]).where("a < b AND class_a <> class_b").select("a", "b").distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    open_ = settle(pairs.join(seen, ["a", "b"], "left_anti"), "rest")
-    return settle(_may_be_near(open_, profiles(members.select("doc_id").distinct(), docs)), "pairs")
-
-
-def _star(members: DataFrame, centres: int) -> DataFrame:
-    """``key, a, b``: each member of a bucket with the bucket's centres (most company, then smallest id).
+    grams = settle(rows.mapInArrow(run, "doc_id long, total long, grams binary"), "grams")
+    sized = settle(members.join(grams.select("doc_id", "total"), "doc_id"), "sized")
+    of_key = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("total") / GRAMS)).cast("int").alias("blocks"))
+    dealt = settle(sized.join(of_key, "key").select("key", "doc_id", "class", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("own")), "dealt")
+    each = dealt.select("key", "doc_id", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "doc_id")
+
+    def compare(name, table):
+        key, i, j = (x.as_py() for x in name)
+        own = table["own"].to_numpy()
+        ids, classes = table["doc_id"].to_numpy(), table["class"].to_numpy()
+        held = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        keys = [np.array(k, np.int64) for k in table["keys"].to_pylist()]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if i == j:
+            # A pair of different classes has a member outside the largest class.
+            names, counts = np.unique(classes, return_counts=True)
+            left = np.flatnonzero(classes != names[counts.argmax()])
+        found = _resolve(ids, classes, keys, held, left, right, key)
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    whole = each.join(open_, "doc_id").join(grams.select("doc_id", "grams"), "doc_id")
+    return settle(whole.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "rest")
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """``key, a, b``: each member of a bucket with the bucket's centre (most company, then smallest id).
 
     Centres are cut out in each task before the shuffle and are written, so the join back on a bucket of any
     size is one that adaptive execution can split.
     """
-    order = Window.partitionBy("key").orderBy(F.desc("company"), "doc_id")
-    chosen = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= centres).select("key", F.col("doc_id").alias("b"))
+    chosen = members.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("c"), "doc_id"))["doc_id"].alias("b"))
     return settle(members.join(settle(chosen, "centres"), "key").where("doc_id <> b").select("key", F.col("doc_id").alias("a"), "b"), "stars")
 
 
@@ -194,60 +235,85 @@ def _shared(keyed: DataFrame) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """``a, b``: near copies among distinct texts ``reps(rep, keys)``, enough to connect the classes.
 
-    Buckets of equal bands are resolved by stars: members are aligned with the bucket's centre, so a
-    round costs at most as many alignments as there are members, however large a bucket is.
-    Buckets that still hold several classes get ``MORE`` further centres in each round, and only
-    members outside a centre's class are aligned with it, until a round joins nothing more. Then every
-    untried pair of different classes that a bucket still holds is aligned, so none is left out.
+    Buckets of equal bands are resolved by a star first: members are aligned with the bucket's centre, at
+    most as many alignments as there are members, however large a bucket is. In buckets that still
+    hold several classes, every pair of different classes is compared, so none is left out.
     """
     members = settle(_shared(reps.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key"))), "open")
-    tried = None
-    while True:
-        stars = _star(members, 1 if tried is None else MORE)
-        pairs = stars.select("a", "b").distinct()
-        if tried is not None:
-            of = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"class_{x}"))
-            apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        new = verify(settle(pairs, "pairs"), docs)
-        tried = new if tried is None else tried.unionByName(new)
-        joined = tried.where("linked").select("a", "b")
-        known = components(joined)
-        classed = members.join(known, members["doc_id"] == known["node"], "left").select("key", "doc_id", "company", F.coalesce("component", "doc_id").alias("class"))
-        mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-        done = stars.select("key", F.col("b").alias("doc_id")).distinct()
-        left = settle(classed.join(mixed, "key", "left_semi").join(done, ["key", "doc_id"], "left_anti"), "open")
-        if left.isEmpty():
-            return joined
-        if new.where("linked").isEmpty():
-            return joined.unionByName(verify(_rest(left, tried, docs), docs).where("linked").select("a", "b"))
-        members = left.drop("class")
+    stars = _star(members)
+    joined = verify(settle(stars.select("a", "b").distinct(), "pairs"), docs).where("linked").select("a", "b")
+    known = components(joined)
+    classed = settle(members.join(known, members["doc_id"] == known["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("class")), "classed")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    centres = stars.select("key", F.col("b").alias("doc_id")).distinct()
+    left = settle(classed.join(mixed, "key", "left_semi").join(centres, ["key", "doc_id"], "left_anti"), "open")
+    return joined.unionByName(_rest(left, docs))
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_llm_digest`` of each text, the one that ``sketches`` gives."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_llm_digest"]
+
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(t or "", word_hashes(t)) for t in batch.column(at).to_pylist()], pa.binary())], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, _llm_digest binary")
+
+
+def _nodes(texts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``digest, rep, node, keys`` and the rows that hold the nodes' texts under ``doc_id``.
+
+    A node is a text's smallest id. Where several texts have the same smallest id (an id was given
+    twice), each gets a node of its own above all ids, and its rows are found by their digest.
+    """
+    twice = settle(texts.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "twice")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if twice.isEmpty():
+        return texts.withColumn("node", F.col("rep")), rows
+    above = texts.agg(F.greatest(F.max("rep"), F.lit(0)) + 1).scalar()
+    own = settle(texts.join(twice, "rep", "left_semi").select("digest", "rep", "keys", (F.monotonically_increasing_id() + above).alias("node")), "own")
+    odd = with_digest(rows.join(twice, rows["doc_id"] == twice["rep"], "left_semi"))
+    odd = odd.join(own.select(F.col("digest").alias("_llm_digest"), "node"), "_llm_digest").select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    nodes = texts.join(twice, "rep", "left_anti").withColumn("node", F.col("rep")).unionByName(own)
+    return nodes, rows.join(twice, rows["doc_id"] == twice["rep"], "left_anti").unionByName(settle(odd, "odd"))
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, class_id`` of every row with an id."""
+    known = settle(sketches(docs), "sketches")
+    texts = settle(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
+    nodes, rows = _nodes(texts, docs)
+    joined = components(links(nodes.select(F.col("node").alias("rep"), "keys"), rows))
+    grouped = settle(nodes.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("digest", "rep", F.coalesce("component", "node").alias("class")), "grouped")
+    named = settle(grouped.join(grouped.groupBy("class").agg(F.min("rep").alias("class_id")), "class").select("digest", "class_id"), "named")
+    return known.select("doc_id", "digest").join(named, "digest")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, kept`` for every row; the class is named by its smallest id, which is kept.
 
     Exact copies share a representative before any pair is formed, so a text with any number of
-    copies enters the search once. Null ids belong to no class and are kept; rows that repeat an id
-    are one document.
+    copies enters the search once. Null ids belong to no class and are kept. An id given to several
+    texts may name a class for each of them; every text is searched, and each class keeps a row.
     """
-    known = settle(sketches(docs), "sketches")
-    texts = settle(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
-    reps = texts.groupBy("rep").agg(F.min_by("keys", "digest").alias("keys"))
-    joined = components(links(reps, docs))
-    named = settle(texts.join(joined, texts["rep"] == joined["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_id")), "named")
-    out = known.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    out = _classed(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return out.unionByName(docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: one document of each class stays, columns unchanged."""
-    known = settle(classes(docs), "classes")
-    gone = settle(known.where("NOT kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = settle(known.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    """The rows of ``docs`` without near copies: one document of each class stays, columns unchanged.
+
+    Of rows equal in id and text one stays; different texts under one id are documents of their own.
+    """
+    known = settle(_classed(docs), "classes")
+    gone = settle(known.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    repeated = settle(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return left
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]),
-    )
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    kept = known.where("doc_id = class_id").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_llm_id"), F.col("digest").alias("_llm_kept")).distinct()
+    several = with_digest(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    several = several.join(settle(kept, "kept"), (several["doc_id"].cast("long") == F.col("_llm_id")) & (several["_llm_digest"] == F.col("_llm_kept")), "left_semi")
+    return once.unionByName(several.dropDuplicates(["doc_id", "_llm_digest"]).select(*docs.columns))
