@@ -22,7 +22,7 @@ from dossier.llm.omh import label_occurrences, sketch
 
 SHINGLE, SIZE, TUPLE, ALIKE, BANDS = 5, 48, 2, 0.8, 40
 # Members and shingles of a block when a bucket's pairs are compared, and the size of the matrices used for it.
-CROWD, GRAMS, ROWS, COLUMNS = 1000, 1 << 20, 256, 2048
+CROWD, GRAMS, ROWS, COLUMNS = 4000, 1 << 22, 256, 2048
 
 
 def longest_rise(values: np.ndarray) -> int:
