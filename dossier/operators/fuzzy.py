@@ -1,11 +1,12 @@
 """Best fuzzy matches of many probe texts in a corpus of short texts, by trigram similarity.
 
-A similarity join over distinct texts with a prefix filter: two sets of sizes a and b whose Jaccard
-value exceeds t share at least o = t / (1 + t) * (a + b) trigrams, hence one of the first
-a - o + 1 of the one and b - o + 1 of the other under any common order. Rare trigrams come first in
-that order, and only they are join keys between texts. A pair that shares no rare trigram depends
-on nothing but the two sets of common trigrams and the two sizes, so texts are grouped by these and
-the few groups are joined instead; a group stands for its rows of smallest id.
+An exact top-n set-similarity join over distinct trigram sets. The trigrams of a set stand in the
+order of their true frequency in the corpus, rarest first. Two sets of sizes a and b whose Jaccard
+value reaches t share at least o = t / (1 + t) * (a + b) trigrams, hence one of the first a - o + 1 of
+the one and b - o + 1 of the other, and what can still follow their first common trigram bounds the
+rest. The value t is each probe's own: a first look at a few texts for its rarest trigrams gives a
+value that its n-th best match reaches at least, so a probe with near matches looks at few of its
+trigrams, the rarest. Only a probe without such matches goes down to the given threshold.
 """
 
 from __future__ import annotations
@@ -17,93 +18,82 @@ from dossier import constants as K
 from dossier.functions.similarity import above, trigram_codes
 from dossier.session import cut_lineage
 
-# A trigram counts as common when it stands in more than one in COMMON_SHARE distinct texts. At
-# most (trigrams per text x COMMON_SHARE) trigrams can pass, so this list has a fixed bound.
-COMMON_SHARE = 100
+# The first look: so many of a probe's rarest trigrams, and so many texts for each. It only sets where
+# the full search of a probe begins; no match is left out by it.
+LOOK_GRAMS, LOOK_TEXTS = 6, 24
+# Slightly below a bound, so that rounding never loses a pair at it.
+SLACK = 1e-6
 
 
-def _features(texts: DataFrame) -> DataFrame:
-    """Distinct texts with their trigram sets; a text without trigrams matches nothing."""
-    return (
-        texts.where(F.col("value").isNotNull())
-        .distinct()
-        .select("value", trigram_codes("value").alias("grams"))
-        .where(F.size("grams") > 0)
-    )
+def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(value, node)`` of distinct texts and ``(node, grams)`` of distinct sets, each named by its smallest text.
 
-
-def _common_ranks(features: DataFrame) -> DataFrame:
-    """One row, one map: common trigram to its frequency."""
-    grams = features.select(F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    n_texts = features.agg(F.count(F.lit(1)).alias("n")).scalar()
-    common = counts.where(F.col("n") * COMMON_SHARE > n_texts)
-    return common.agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("ranks"))
+    A text without trigrams matches nothing.
+    """
+    each = cut_lineage(texts.where(F.col("value").isNotNull()).distinct().select("value", F.array_sort(trigram_codes("value")).alias("grams")).where(F.size("grams") > 0))
+    heads = each.groupBy("grams").agg(F.min("value").alias("node"))
+    return each.join(heads, "grams").select("value", "node"), heads
 
 
-def _parted(features: DataFrame, ranks: Column) -> DataFrame:
-    """``(value, size, rare, common)``; both lists are in the one order of all texts."""
-    by_rank = F.array_sort(
-        F.transform("grams", lambda g: F.struct(F.coalesce(F.element_at("ranks", g), F.lit(0)).alias("n"), g.alias("g")))
-    )
-    ranked = features.withColumn("ranks", ranks).select("value", by_rank.alias("keyed"))
-    kept = lambda test: F.transform(F.filter("keyed", test), lambda s: s["g"])
-    return ranked.select(
-        "value", F.size("keyed").alias("size"), kept(lambda s: s["n"] == 0).alias("rare"), kept(lambda s: s["n"] > 0).alias("common"),
+def _ordered(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(node, size, grams, known)``: trigrams rarest first; ``known`` of them stand in the corpus, behind the others."""
+    flat = sets.select("node", F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    keyed = flat.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("keyed"))
+    return keyed.select(
+        "node", F.size("keyed").alias("size"), F.transform("keyed", lambda x: x["gram"]).alias("grams"), F.size(F.filter("keyed", lambda x: x["n"] > 0)).alias("known"),
     )
 
 
-def trigram_tables(probes: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides as distinct ``(value, size, rare, common)``; inputs have ``value``."""
-    right = _features(corpus)
-    ranks = _common_ranks(right).scalar()
-    return cut_lineage(_parted(_features(probes), ranks)), cut_lineage(_parted(right, ranks))
+def trigram_tables(probes: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts and ordered sets of both sides; inputs have ``value``."""
+    left_texts, left = _sets(probes)
+    right_texts, right = _sets(corpus)
+    right = cut_lineage(right)
+    counts = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return left_texts, cut_lineage(_ordered(left, counts)), right_texts, cut_lineage(_ordered(right, counts))
 
 
-def _overlap(a: Column, b: Column, t: float) -> Column:
-    return F.ceil((a + b) * F.lit(t / (1 + t))).cast("int")
+def _similarity(shared: Column, a: Column, b: Column) -> Column:
+    return shared / (a + b - shared)
 
 
-def _joined(left: DataFrame, right: DataFrame, id_column: str, keys: str, before: str | None, threshold: float) -> DataFrame:
-    """Pairs of ids that share a prefix trigram of the list ``keys`` and exceed the threshold.
+def first_look(left: DataFrame, right: DataFrame, top: int, skip_equal: bool) -> DataFrame:
+    """``(left_node, floor)``: a similarity that the ``top`` best matches of a probe reach at least.
 
-    ``before`` names the list that stands in front of ``keys`` in the common order; where it is
-    given, the pair is taken to share nothing of it.
+    Each probe meets at most ``LOOK_GRAMS`` x ``LOOK_TEXTS`` texts; a probe that meets too few has no row.
     """
-    # Slightly below the threshold, so that rounding never loses a pair at the boundary.
-    t = threshold - 1e-6
-    a, b = F.col("left_size"), F.col("right_size")
-    ahead = lambda side: F.size(f"{side}_{before}") if before else F.lit(0)
-    names = [id_column, "size", "rare", "common"]
-    sides = {s: df.select(*[F.col(n).alias(f"{s}_{n}") for n in names]) for s, df in (("left", left), ("right", right))}
-    sizes = F.sequence(F.ceil(a * F.lit(t)).cast("int"), F.floor(a / F.lit(t)).cast("int"))
-
-    def prefix(side: str, n: Column) -> Column:
-        return F.slice(f"{side}_{keys}", F.lit(1), F.greatest(n - ahead(side), F.lit(0)))
-
-    probing = (
-        sides["left"].select("*", F.explode(sizes).alias("right_size"))
-        .select("*", prefix("left", a - _overlap(a, b, t) + 1).alias("left_prefix"))
-        .select("*", F.explode("left_prefix").alias("gram"))
-    )
-    indexed = sides["right"].select("*", F.explode(prefix("right", b - F.ceil(b * F.lit(t)).cast("int") + 1)).alias("gram"))
-    shared = F.size(F.array_intersect("left_common", "right_common"))
-    if not before:
-        shared = shared + F.size(F.array_intersect("left_rare", "right_rare"))
-    return (
-        probing.join(indexed, ["gram", "right_size"])
-        # A pair meets once per shared prefix trigram; it is kept at the first of them only.
-        .where(F.col("gram") == F.get(F.array_intersect("left_prefix", prefix("right", b - _overlap(a, b, t) + 1)), F.lit(0)))
-        .select(f"left_{id_column}", f"right_{id_column}", (shared / (a + b - shared)).alias("similarity"))
-        .where(above(F.col("similarity"), threshold))
-    )
-
-
-def _grouped(table: DataFrame) -> DataFrame:
-    """Groups of texts alike in size and common trigrams; ``rare`` of a group is as long as its texts'."""
-    return table.where(F.size("common") > 0).groupBy("size", "common").agg(F.first("rare").alias("rare")).withColumn(
-        "group", F.struct("size", "common")
-    )
+    rarest = F.slice("grams", F.col("size") - F.col("known") + 1, F.lit(LOOK_GRAMS))
+    asked = left.select("node", F.explode(rarest).alias("gram"))
+    few = Window.partitionBy("gram").orderBy(F.xxhash64("gram", "node"), "node")
+    held = right.select("node", F.explode("grams").alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = held.withColumn("_rn", F.row_number().over(few)).where(F.col("_rn") <= LOOK_TEXTS)
+    pairs = asked.select(F.col("node").alias("left_node"), "gram").join(held.select(F.col("node").alias("right_node"), "gram"), "gram").select("left_node", "right_node").distinct()
+    if skip_equal:
+        pairs = pairs.where("left_node <> right_node")
+    of = lambda df, side: df.select(F.col("node").alias(f"{side}_node"), F.col("grams").alias(f"{side}_grams"))
+    met = pairs.join(of(left, "left"), "left_node").join(of(right, "right"), "right_node")
+    shared = F.size(F.array_intersect("left_grams", "right_grams"))
+    near = met.select("left_node", "right_node", _similarity(shared, F.size("left_grams"), F.size("right_grams")).alias("similarity"))
+    order = Window.partitionBy("left_node").orderBy(F.desc("similarity"), "right_node")
+    best = near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top)
+    return best.groupBy("left_node").agg(F.min("similarity").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") == top).drop("n")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, floors: DataFrame, threshold: float) -> DataFrame:
+    """``(left_node, right_node, similarity)`` of all pairs above the threshold and not below the probe's floor."""
+    a, b, t = F.col("left_size"), F.col("size"), F.col("least")
+    overlap = F.ceil((a + b) * (t / (1 + t))).cast("int")
+    least = F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(threshold)) - SLACK
+    probes = left.join(floors, F.col("node") == F.col("left_node"), "left").select(F.col("node").alias("left_node"), F.col("size").alias("left_size"), F.col("grams").alias("left_grams"), least.alias("least"))
+    sized = probes.select("*", F.explode(F.sequence(F.ceil(a * t).cast("int"), F.floor(a / t).cast("int"))).alias("size"))
+    probing = sized.withColumn("overlap", overlap).select("*", F.posexplode(F.slice("left_grams", F.lit(1), F.greatest(a - F.col("overlap") + 1, F.lit(0)))).alias("i", "gram"))
+    longest = b - F.ceil(b * F.lit(threshold - SLACK)).cast("int") + 1
+    indexed = right.select("size", F.col("node").alias("right_node"), F.col("grams").alias("right_grams"), F.posexplode(F.slice("grams", F.lit(1), longest)).alias("j", "gram"))
+    met = probing.join(indexed, ["gram", "size"]).where(F.least(a - F.col("i"), b - F.col("j")) >= F.col("overlap"))
+    # Both lists are in the same order, so a pair is kept at its first common trigram only.
+    common = met.select("left_node", "right_node", "left_size", "size", "least", "gram", F.array_intersect("left_grams", "right_grams").alias("common"))
+    found = common.where(F.col("gram") == F.get("common", F.lit(0))).select("left_node", "right_node", "least", _similarity(F.size("common"), a, b).alias("similarity"))
+    return found.where((F.col("similarity") >= F.col("least")) & above(F.col("similarity"), threshold)).drop("least")
 
 
 def fuzzy_topk(
@@ -120,46 +110,30 @@ def fuzzy_topk(
     """``(probe, match_id, match, similarity, match_rank)``: best ``top`` rows per distinct probe.
 
     Equal similarities are ordered by id. Only the ``top`` smallest ids of a corpus text, and twice
-    as many of a group, can reach a result, so a text or group of any size adds at most that many.
+    as many of a set, can reach a result, so a text or set of any size adds at most that many.
     """
     if not 0 < threshold < 1:
         raise ValueError("need 0 < threshold < 1")
-    asked, texts = trigram_tables(
-        probes.select(F.col(probe).alias("value")), corpus.select(F.col(key).alias("value"))
-    )
-    first = Window.partitionBy("right_value").orderBy(corpus_id)
-    smallest = (
-        corpus.select(F.col(key).alias("right_value"), F.col(corpus_id))
-        .where(F.col("right_value").isNotNull())
-        .withColumn("_rn", F.row_number().over(first))
-        .where(F.col("_rn") <= top)
-        .drop("_rn")
-    )
-    differ = F.col("left_value") != F.col("right_value") if skip_equal else F.lit(True)
-    columns = ["left_value", "right_value", corpus_id, "similarity"]
-    by_text = _joined(asked, texts, "value", "rare", None, threshold).where(differ).join(smallest, "right_value").select(*columns)
+    asked, left, texts, right = trigram_tables(probes.select(F.col(probe).alias("value")), corpus.select(F.col(key).alias("value")))
+    floors = cut_lineage(first_look(left, right, top, skip_equal))
+    pairs = similar_sets(left, right, floors, threshold)
 
+    first = Window.partitionBy("value").orderBy(corpus_id)
+    smallest = corpus.select(F.col(key).alias("value"), F.col(corpus_id)).where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= top).drop("_rn")
     # One value may have to be left out for being equal to the probe; at most ``top`` rows hold it.
-    in_group = Window.partitionBy("right_group").orderBy(corpus_id)
+    in_set = Window.partitionBy("right_node").orderBy(corpus_id)
     standing = (
-        texts.where(F.size("common") > 0).select(F.struct("size", "common").alias("right_group"), F.col("value").alias("right_value"))
-        .join(smallest, "right_value").withColumn("_rn", F.row_number().over(in_group)).where(F.col("_rn") <= 2 * top).drop("_rn")
-    )
-    nearest = Window.partitionBy("left_group").orderBy(F.desc("similarity"), F.asc(corpus_id))
-    reachable = (
-        _joined(_grouped(asked), _grouped(texts), "group", "common", "rare", threshold).join(standing, "right_group")
-        .withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= 2 * top)
+        texts.join(smallest, "value").select(F.col("node").alias("right_node"), F.col("value").alias("match"), corpus_id)
+        .withColumn("_rn", F.row_number().over(in_set)).where(F.col("_rn") <= 2 * top).drop("_rn")
     )
-    members = asked.select(F.struct("size", "common").alias("left_group"), F.col("value").alias("left_value"))
-    by_group = reachable.join(members, "left_group").where(differ).select(*columns)
-
-    # The group's value misses shared rare trigrams, which the join by text has counted.
-    best = Window.partitionBy("left_value").orderBy(F.desc("similarity"), F.asc(corpus_id))
+    nearest = Window.partitionBy("left_node").orderBy(F.desc("similarity"), F.asc(corpus_id))
+    reachable = pairs.join(standing, "right_node").withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= 2 * top).drop("_rn")
+    members = asked.select(F.col("node").alias("left_node"), F.col("value").alias("_probe"))
+    matched = reachable.join(members, "left_node")
+    if skip_equal:
+        matched = matched.where(F.col("_probe") != F.col("match"))
+    best = Window.partitionBy("_probe").orderBy(F.desc("similarity"), F.asc(corpus_id))
     return (
-        by_text.unionByName(by_group).groupBy("left_value", "right_value", corpus_id).agg(F.max("similarity").alias("similarity"))
-        .withColumn("match_rank", F.row_number().over(best)).where(F.col("match_rank") <= top)
-        .select(
-            F.col("left_value").alias(probe), F.col(corpus_id).alias("match_id"),
-            F.col("right_value").alias("match"), "similarity", "match_rank",
-        )
+        matched.withColumn("match_rank", F.row_number().over(best)).where(F.col("match_rank") <= top)
+        .select(F.col("_probe").alias(probe), F.col(corpus_id).alias("match_id"), "match", "similarity", "match_rank")
     )
