@@ -25,13 +25,15 @@ def insert_status(
 ) -> DataFrame:
     """Every row of the batch with ``status``: ``inserted`` or ``duplicate``.
 
-    Works on the narrow pair (hash, order key); a text is never sorted or shuffled here.
+    Works on hash, order key and place of the row; a text is never sorted or shuffled here. Of rows
+    equal in hash and order key one is inserted, the first in the order of the table's partitions.
     """
-    first = batch.groupBy(hash_column).agg(F.min(order_by).alias("_first"))
+    placed = batch.withColumn("_place", F.monotonically_increasing_id())
+    first = placed.groupBy(hash_column).agg(F.min(F.struct(order_by, "_place"))["_place"].alias("_first"))
     new = not_stored(first, stored, hash_column).select(F.col(hash_column).alias("_hash"), "_first")
-    same = (batch[hash_column] == new["_hash"]) & (batch[order_by] == new["_first"])
+    same = (placed[hash_column] == new["_hash"]) & (placed["_place"] == new["_first"])
     return (
-        batch.join(new, same, "left")
+        placed.join(new, same, "left")
         .withColumn("status", F.when(F.col("_first").isNotNull(), "inserted").otherwise("duplicate"))
-        .drop("_hash", "_first")
+        .drop("_hash", "_first", "_place")
     )

@@ -50,11 +50,13 @@ def _texts(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fresh_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """First row per content that the store does not hold; done before any costly step.
 
-    The choice is made on (hash, path) alone; only the rows that stay are matched with their texts.
+    The choice is made on (hash, path, digest of the row) alone, so it is the same in every run; only
+    the rows that stay are matched with their texts. Rows equal in all columns are one.
     """
-    first = not_stored(batch.groupBy("sha256").agg(F.min("path").alias("path")), stored)
-    found = batch.join(first, ["sha256", "path"], "left_semi")
-    return found.dropDuplicates(["sha256"])
+    marked = batch.withColumn("_mark", F.xxhash64(*[c for c in OPTIONAL if c in batch.columns]))
+    first = marked.groupBy("sha256").agg(F.min(F.struct("path", "_mark")).alias("_first")).select("sha256", "_first.*")
+    found = marked.join(not_stored(first, stored), ["sha256", "path", "_mark"], "left_semi")
+    return found.dropDuplicates(["sha256"]).drop("_mark")
 
 
 def to_documents(
@@ -88,8 +90,8 @@ def ingest(
     Replaying a batch id replaces its own partitions and sees the store without them.
     """
     spark = batch.sparkSession
-    stored = store.documents().where(F.col("batch_id") != batch_id).select("sha256")
-    rows = fresh_rows(completed(batch), stored)
+    batch = completed(batch)
+    rows = fresh_rows(batch, store.stored_hashes(batch, without=batch_id))
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
     # Cutting the text is the costly step; all three tables start from these checkpointed rows.
     prepared = cut_lineage(to_documents(rows, doc_types(spark), stamp))

@@ -1,15 +1,17 @@
-"""Document, chunk and history tables as parquet below one folder.
+"""Document, chunk, history and hash tables as parquet below one folder.
 
-Every write fills the partition of its batch and replaces it when the batch is replayed, so a
-repeated batch leaves the same rows.
+Every write replaces the whole folder of its batch, so a replayed batch leaves the rows of its last
+run and nothing of an earlier one. Content hashes have a table of their own, partitioned by a part
+of the hash: the duplicate test of a batch reads the parts that the batch holds, and no documents.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import constants as K
@@ -24,6 +26,7 @@ DOCUMENT_SCHEMA = (
 )
 CHUNK_SCHEMA = "chunk_id string, doc_id string, pos int, text string"
 HISTORY_SCHEMA = "doc_no string"
+HASH_SCHEMA, HASH_PARTS = "sha256 string", 64
 READ_COLUMNS = ("doc_id", "doc_no", "issued_on", "doc_type", "issuer", "subject", "full_text")
 
 
@@ -41,13 +44,16 @@ def _read(spark: SparkSession, path: str, schema: str, partitions: str) -> DataF
         return spark.createDataFrame([], full)
 
 
-def _write(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+def _write(df: DataFrame, path: str, batch_id: str, partitions: Sequence[str] = ()) -> None:
+    """The rows of one batch, in a folder of its own that is replaced as a whole."""
+    if not re.fullmatch(r"[\w.\-]+", batch_id, re.ASCII):
+        raise ValueError(f"a batch id holds letters, digits, '_', '-' and '.': {batch_id!r}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{path}/batch_id={batch_id}")
+
+
+def hash_part(sha256: Column | str) -> Column:
+    return F.pmod(F.xxhash64(sha256), F.lit(HASH_PARTS)).cast("int")
 
 
 class Store:
@@ -65,26 +71,34 @@ class Store:
 
     def history(self) -> DataFrame:
         return _read(
-            self.spark, f"{self.folder}/history", HISTORY_SCHEMA, "direction string, batch_id string"
+            self.spark, f"{self.folder}/history", HISTORY_SCHEMA, "batch_id string, direction string"
         )
 
+    def hashes(self, parts: Sequence[int] | None = None) -> DataFrame:
+        """Hashes of the stored contents; ``parts`` (of ``hash_part``) prunes the partitions read."""
+        rows = _read(self.spark, f"{self.folder}/hashes", HASH_SCHEMA, "batch_id string, part int")
+        return rows if parts is None else rows.where(F.col("part").isin(*parts))
+
+    def stored_hashes(self, batch: DataFrame, without: str | None = None) -> DataFrame:
+        """Stored hashes in the parts that ``batch(sha256)`` holds, without those of one batch id.
+
+        At most ``HASH_PARTS`` numbers reach the driver.
+        """
+        parts = sorted(r["part"] for r in batch.select(hash_part("sha256").alias("part")).distinct().collect())
+        rows = self.hashes(parts)
+        return (rows if without is None else rows.where(F.col("batch_id") != without)).select("sha256")
+
     def write_documents(self, docs: DataFrame, batch_id: str) -> None:
-        names = _names(DOCUMENT_SCHEMA)
-        _write(docs.select(*names, F.lit(batch_id).alias("batch_id")), f"{self.folder}/documents", ["batch_id"])
+        _write(docs.select(*_names(DOCUMENT_SCHEMA)), f"{self.folder}/documents", batch_id)
+        hashes = docs.select("sha256").distinct().withColumn("part", hash_part("sha256"))
+        _write(hashes.repartition("part"), f"{self.folder}/hashes", batch_id, ["part"])
 
     def write_chunks(self, chunks: DataFrame, batch_id: str) -> None:
-        names = _names(CHUNK_SCHEMA)
-        _write(
-            chunks.select(*names, F.lit(batch_id).alias("batch_id"), "direction"),
-            f"{self.folder}/chunks", ["batch_id", "direction"],
-        )
+        _write(chunks.select(*_names(CHUNK_SCHEMA), "direction"), f"{self.folder}/chunks", batch_id, ["direction"])
 
     def write_history(self, docs: DataFrame, batch_id: str) -> None:
-        rows = docs.where(F.coalesce("doc_no", F.lit("")) != "").select("direction", "doc_no").distinct()
-        _write(
-            rows.withColumn("batch_id", F.lit(batch_id)), f"{self.folder}/history",
-            ["direction", "batch_id"],
-        )
+        rows = docs.where(F.coalesce("doc_no", F.lit("")) != "").select("doc_no", "direction").distinct()
+        _write(rows, f"{self.folder}/history", batch_id, ["direction"])
 
 
 def read_documents(

@@ -15,15 +15,20 @@ def ingest_landing(
 ) -> None:
     """Takes what landed since the last run, then stops.
 
-    The batch id names the partitions that a batch writes, and rows are matched by content hash,
-    so a batch replayed after a failure leaves the store as if it had run once.
+    A batch is named by the stream's own id, which its checkpoint keeps, and by the epoch. So a batch
+    replayed after a failure leaves the store as if it had run once, while another stream into the same
+    store, or one that begins anew after its checkpoint was lost, never takes an earlier batch's place.
+    Rows are matched by content hash in the hash partitions that the batch holds; no document is read.
     """
     reader = spark.readStream.format(source_format).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        ingest(batch, store, f"stream-{epoch:012d}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the running stream has no id")
+        ingest(batch, store, f"stream-{stream}-{epoch:012d}")
 
     query = (
         reader.load(landing)

@@ -60,3 +60,70 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(streamed.documents().select(keep).collect()) == sorted(direct.documents().select(keep).collect())
     ids = [sorted(r[0] for r in s.chunks().select("chunk_id").collect()) for s in (streamed, direct)]
     assert ids[0] == ids[1]
+
+
+def texts(spark, names):
+    return spark.createDataFrame([(f"d/{n}.txt", f"text of {n} " * 30, "out") for n in names], "path string, text string, direction string")
+
+
+def test_two_streams_and_a_lost_checkpoint_lose_no_row(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    schema = texts(spark, ["x"]).schema
+    run = lambda folder, check: ingest_landing(spark, str(tmp_path / folder), store, str(tmp_path / check), schema)
+    land = lambda folder, names: texts(spark, names).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+    held = lambda: sorted(r.file_name for r in store.documents().select("file_name").collect())
+    land("a", ["1", "2"])
+    land("b", ["2", "3"])
+    run("a", "check_a")
+    run("b", "check_b")
+    assert held() == ["1.txt", "2.txt", "3.txt"]
+    land("a", ["4"])
+    run("a", "check_a")
+    land("a", ["5"])
+    run("a", "check_new")  # the checkpoint of the first stream is lost
+    land("a", ["6"])
+    run("a", "check_new")
+    assert held() == [f"{i}.txt" for i in range(1, 7)]
+    assert integrity(store.documents(), store.chunks()).count() == 0
+
+
+def test_duplicate_test_reads_the_parts_of_the_batch_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ingest(texts(spark, [str(i) for i in range(200)]), store, "first")
+    one = texts(spark, ["7"]).withColumn("sha256", F.sha2(F.col("text"), 256))
+    found = store.stored_hashes(one)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "/hashes" in text and "/documents" not in text
+    assert "part#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert found.count() < 20 and store.hashes().count() == 200
+    assert found.where(F.col("sha256") == store.documents().where("file_name = '7.txt'").first()["sha256"]).count() == 1
+
+
+def test_replay_leaves_nothing_of_the_earlier_run(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    both = texts(spark, ["1", "2"]).withColumn("direction", F.when(F.col("path") == "d/1.txt", "in").otherwise("out"))
+    ingest(both, store, "b")
+    ingest(both.where("direction = 'in'"), store, "b")
+    assert [r.direction for r in store.chunks().select("direction").distinct().collect()] == ["in"]
+    assert store.hashes().count() == store.documents().count() == 1
+    ingest(both, store, "c")
+    assert store.documents().count() == 2
+
+
+def test_one_row_of_equal_hash_and_path_is_chosen_the_same_way(spark, tmp_path):
+    rows = [("p", "same text", f"{i}/KH-X") for i in range(20)]
+    found = set()
+    for n in (1, 7):
+        batch = spark.createDataFrame(rows, "path string, text string, side_doc_no string").repartition(n)
+        store = Store(spark, str(tmp_path / f"s{n}"))
+        ingest(batch, store, "b")
+        found |= {(r.doc_no) for r in store.documents().collect()}
+    assert len(found) == 1
+
+
+def test_rows_equal_in_hash_and_order_are_inserted_once(spark):
+    from dossier.operators.dedupe import insert_status
+
+    batch = spark.createDataFrame([("h", "p")] * 5 + [("g", "q")], "sha256 string, path string").repartition(3)
+    got = insert_status(batch, batch.limit(0), "path").groupBy("sha256", "status").count().collect()
+    assert {(r.sha256, r.status): r["count"] for r in got} == {("h", "inserted"): 1, ("h", "duplicate"): 4, ("g", "inserted"): 1}
