@@ -181,7 +181,7 @@ def _rest(members: DataFrame, docs: DataFrame) -> DataFrame:
     blocks, so none lies in one task.
     """
     open_ = settle(members.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys")), "needed")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(open_.select("doc_id"), "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(settle(open_.select("doc_id"), "ids"), "doc_id", "left_semi")
 
     def run(batches):
         for batch in slices(batches):
