@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import settle
@@ -26,18 +26,25 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def usable() -> Column:
+    """Whether a row of ``label, v`` takes part in the join; never null."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+
+
 def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (``id, h1, h2``: id and class of equal vectors) and one row per class.
 
     Only rows with a label and a usable vector take part; vectors meet only within a label and a
-    dimension. Equal vectors are one class, so copies cost nothing in the join.
+    dimension. Equal vectors are one class, so copies cost nothing in the join. ``rep`` numbers the
+    classes, ``low`` is the smallest id in one (null if it has none): neither null ids nor ids that
+    repeat with other vectors mix classes up. Write the classes before using the number twice.
     """
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    keyed = rows.where("label IS NOT NULL").where(usable).withColumns({
+    keyed = rows.where(usable()).withColumns({
         "h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(1), "v", "label"),
     })
     classes = keyed.groupBy("h1", "h2").agg(
-        F.min("id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("v").alias("v"),
+        F.min("id").alias("low"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("v").alias("v"),
     )
 
     def unit(batches):
@@ -49,11 +56,11 @@ def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out.append(x / np.sqrt(np.dot(x, x)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array([f"{a}|{len(x)}" for a, x in zip(batch.column(4).to_pylist(), out, strict=True)], pa.string()), pa.array(out, pa.list_(pa.float64()))],
-                names=["h1", "h2", "rep", "w", "cell", "v"],
+                names=["h1", "h2", "low", "w", "cell", "v"],
             )
 
-    units = classes.select("h1", "h2", "rep", "w", F.col("label").cast("string"), "v").mapInArrow(unit, "h1 long, h2 long, rep long, w long, cell string, v array<double>")
-    return keyed.select("id", "h1", "h2"), units
+    units = classes.select("h1", "h2", "low", "w", F.col("label").cast("string"), "v").mapInArrow(unit, "h1 long, h2 long, low long, w long, cell string, v array<double>")
+    return keyed.select("id", "h1", "h2"), units.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _assign(reach: float):
@@ -149,21 +156,24 @@ def link_classes(vectors: DataFrame, alike: float = ALIKE, id_col: str = "vec_id
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Rows without a label, and vectors that are null, empty, zero or hold null or non-finite
-    components, link with nothing and are their own component. Rows that repeat an id count as
-    vectors of their own. Vectors of different dimension do not meet. A null id is its own
-    component and kept; it still counts as a partner of others.
+    components, link with nothing and are their own component, also where their id has another
+    row. Rows that repeat an id count as vectors of their own. Vectors of different dimension do not
+    meet. A null id counts as a partner of others and has their smallest id as its component; where
+    none of them has an id the component is null and the row is kept.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    members, units = distinct_vectors(rows.where("id IS NOT NULL"))
+    members, units = distinct_vectors(rows)
     members, units = settle(members, "members"), settle(units, "units")
     found = settle(block_links(cells(units, alike), alike), "links")
     joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = units.select("h1", "h2", "rep", "w").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(
-        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
-    )
-    linked = members.join(settle(facts, "facts"), ["h1", "h2"]).select("id", "n_links", "component_id")
-    alone = rows.join(members.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    grouped = settle(units.select("h1", "h2", "rep", "low", "w").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(
+        "h1", "h2", "low", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"),
+    ), "grouped")
+    lowest = grouped.groupBy("group").agg(F.min("low").alias("component_id"))
+    facts = settle(grouped.join(lowest, "group").select("h1", "h2", "n_links", "component_id"), "facts")
+    linked = members.join(facts, ["h1", "h2"]).select("id", "n_links", "component_id")
+    alone = rows.where(~usable()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
-        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
