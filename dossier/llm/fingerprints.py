@@ -95,7 +95,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     return (
         rows.withColumn("place", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))))
         .select("doc_id", "text", "key", "tie", "place.part", "place.tail")
-        .repartition(parts, "part")
+        .repartitionById(parts, F.col("part"))
         .sortWithinPartitions("part", "tail", F.desc("key"), F.desc("tie"))
     )
 
