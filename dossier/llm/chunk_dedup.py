@@ -1,7 +1,8 @@
 """Repeated passages by content-defined chunking with a gear rolling hash.
 
-A text is cut where the hash of the 32 bytes before a word's end has two zero bits, so cuts depend
-on content alone and an insertion moves only those next to it. Chunks with equal digests repeat;
+A text is cut where the hash of the 32 bytes before a word's end has two zero bits, and where these
+bytes hold no white space, at any end of a character at which three bits are zero. So cuts depend on
+content alone in any script, and an insertion moves only those next to it. Chunks with equal digests repeat;
 the first occurrence by document and place stays, and runs of repeated chunks of at least
 ``min_run`` bytes are taken out of the others.
 """
@@ -9,14 +10,17 @@ the first occurrence by document and place stays, and runs of repeated chunks of
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dossier.llm.common import mix, settle, slices
 
 LEAST, MOST, MASK, MIN_RUN = 32, 256, 0b11 << 30, 96
+WINDOW, UNSPACED_MASK = 32, 0b111 << 29
 _GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -31,11 +35,16 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
 def cuts(raw: np.ndarray, least: int = LEAST, most: int = MOST) -> list[int]:
     """Ends of the chunks of a UTF-8 text; each has ``least`` to ``most`` bytes (the last may have fewer).
 
-    A cut comes after white space at which the hash fits; a chunk that finds none ends at ``most``
-    bytes, moved back to the start of a character.
+    A cut comes after white space at which the hash fits, or between characters at which it fits
+    its stricter mask if the ``WINDOW`` bytes before hold no white space; a chunk that finds none
+    ends at ``most`` bytes, moved back to the start of a character.
     """
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    fits = np.flatnonzero(space & ((gear_hash(raw) & np.uint32(MASK)) == 0)) + 1
+    seen = np.cumsum(space)
+    unspaced = seen == np.concatenate((np.zeros(min(WINDOW, len(raw)), seen.dtype), seen[:-WINDOW]))
+    whole = np.append((raw[1:] & 0xC0) != 0x80, True)
+    hashes = gear_hash(raw)
+    fits = np.flatnonzero((space & ((hashes & np.uint32(MASK)) == 0)) | (unspaced & whole & ((hashes & np.uint32(UNSPACED_MASK)) == 0))) + 1
     out, last, n = [], 0, len(raw)
     for at in [*fits.tolist(), n]:
         while at - last > most:
@@ -102,19 +111,36 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
     per_text = again.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("start", "size", "bytes", F.col("first.id").alias("first_doc_id")))).alias("hits"),
     )
-    fresh = lambda h: F.struct(h["start"].alias("start"), h["size"].alias("size"), h["bytes"].alias("bytes"), h["first_doc_id"].alias("first_doc_id"), F.lit(1).alias("chunks"))
-    longer = lambda r, h: F.struct(r["start"].alias("start"), (r["size"] + h["size"]).alias("size"), (r["bytes"] + h["bytes"]).alias("bytes"), r["first_doc_id"].alias("first_doc_id"), (r["chunks"] + 1).alias("chunks"))
 
-    def add(state, h):
-        follows = h["start"] == state["open"]["start"] + state["open"]["size"]
-        return F.when(follows, F.struct(state["done"].alias("done"), longer(state["open"], h).alias("open"))).otherwise(
-            F.struct(F.concat(state["done"], F.filter(F.array(state["open"]), lambda r: r["bytes"] >= min_run)).alias("done"), fresh(h).alias("open")),
-        )
-
-    kind = "array<struct<start:int,size:int,bytes:int,first_doc_id:bigint,chunks:int>>"
-    start = F.struct(F.array().cast(kind).alias("done"), fresh(F.get("hits", F.lit(0))).alias("open"))
-    runs = F.aggregate(F.slice("hits", F.lit(2), F.size("hits")), start, add, lambda s: F.concat(s["done"], F.filter(F.array(s["open"]), lambda r: r["bytes"] >= min_run)))
-    return per_text.select("doc_id", "version", runs.alias("runs")).where(F.size("runs") > 0)
+    def merge(batches):
+        for batch in slices(batches):
+            out = []
+            for hits in batch.column(2).to_pylist():
+                runs = []
+                for h in hits:
+                    if runs and runs[-1]["start"] + runs[-1]["size"] == h["start"]:
+                        runs[-1].update(size=runs[-1]["size"] + h["size"], bytes=runs[-1]["bytes"] + h["bytes"], chunks=runs[-1]["chunks"] + 1)
+                    else:
+                        runs.append({**h, "chunks": 1})
+                out.append([r for r in runs if r["bytes"] >= min_run])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "version", "runs"])
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("bytes", pa.int32()), ("first_doc_id", pa.int64()), ("chunks", pa.int32())]))
+    schema = "doc_id long, version long, runs array<struct<start:int,size:int,bytes:int,first_doc_id:bigint,chunks:int>>"
+    return per_text.mapInArrow(merge, schema).where(F.size("runs") > 0)
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """The texts without their runs, in one pass each; null where a row has none."""
+    out = []
+    for t, first, n in zip(text, starts, sizes, strict=True):
+        if t is None:
+            out.append(None)
+            continue
+        ends = [0, *(int(a) + int(b) for a, b in zip(first, n, strict=True))]
+        out.append("".join(t[a:b] for a, b in zip(ends, [*map(int, first), len(t)], strict=True)))
+    return pd.Series(out, dtype=object)
 
 
 def strip_repeats(docs: DataFrame, runs_col: str = "runs", **options: int) -> DataFrame:
@@ -127,10 +153,9 @@ def strip_repeats(docs: DataFrame, runs_col: str = "runs", **options: int) -> Da
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_version"))
     empty = F.array().cast(found.schema[runs_col].dataType)
     rows = docs.drop(runs_col).join(found, same, "left").withColumn(runs_col, F.coalesce(runs_col, empty))
-    ends = F.concat(F.array(F.lit(0)), F.transform(runs_col, lambda r: r["start"] + r["size"]))
-    starts = F.concat(F.transform(runs_col, lambda r: r["start"]), F.array(F.length("text")))
-    kept = F.zip_with(ends, starts, lambda e, s: F.substring("text", e + 1, s - e))
-    out = rows.withColumn("text", F.when(F.size(runs_col) > 0, F.array_join(kept, "")).otherwise(F.col("text")))
+    has = F.size(runs_col) > 0
+    shorter = _without(F.when(has, F.col("text")), F.transform(runs_col, lambda r: r["start"]), F.transform(runs_col, lambda r: r["size"]))
+    out = rows.withColumn("text", F.when(has, shorter).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(runs_col) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[c for c in docs.columns if c != runs_col], runs_col)

@@ -256,17 +256,21 @@ def test_very_long_white_space_tokenises_as_the_library_does():
 def plain_chunks(text):
     raw = text.encode()
     gear = chunk_dedup._GEAR.tolist()
+    space = (32, 9, 10, 11, 12, 13)
     out, last, h = [], 0, 0
     for i, b in enumerate(raw):
         h = ((h << 1) + gear[b]) & 0xFFFFFFFF
         n = i + 1 - last
-        if n == 256 and i + 1 < len(raw) and not (b in (32, 9, 10, 11, 12, 13) and h & chunk_dedup.MASK == 0):
+        whole = i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80
+        unspaced = whole and h & (0b111 << 29) == 0 and not any(c in space for c in raw[max(0, i - 31) : i + 1])
+        fits = unspaced or (b in space and h & chunk_dedup.MASK == 0)
+        if n == 256 and i + 1 < len(raw) and not fits:
             end = i + 1
             while raw[end] & 0xC0 == 0x80:
                 end -= 1
             out.append(raw[last:end])
             last = end
-        elif n >= 32 and b in (32, 9, 10, 11, 12, 13) and h & chunk_dedup.MASK == 0:
+        elif n >= 32 and fits:
             out.append(raw[last : i + 1])
             last = i + 1
     return [*out, raw[last:]] if last < len(raw) else out
