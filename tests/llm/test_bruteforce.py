@@ -1,6 +1,7 @@
 """Every operator against a plain version of the same definition, a round trip, or held-out rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -286,21 +287,29 @@ def test_chunk_dedup(spark):
         ends = chunk_dedup.cuts(np.frombuffer(t.encode(), np.uint8))
         assert plain_chunks(t) == [t.encode()[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     first, want = {}, []
-    for t in texts:
-        hits = []
-        for c in plain_chunks(t):
-            hits.append((c, c in first))
-            first[c] = True
-        out, run = [], []
-        for c, hit in [*hits, (b"", False)]:
-            if hit:
-                run.append(c)
-                continue
-            if sum(map(len, run)) < chunk_dedup.MIN_RUN:
-                out += run
-            run = []
-            out.append(c)
-        want.append(b"".join(out).decode())
+    for i, t in enumerate(texts):
+        gone, at, run = bytearray(len(t)), 0, []
+        for c in [*plain_chunks(t), None]:
+            if c is not None and c in first:
+                run.append((at, c, first[c]))
+            elif run:
+                (low, _, (a, x)), (high, c_last, (b, y)) = run[0], run[-1]
+                high, y, run = high + len(c_last.decode()), y + len(c_last.decode()), []
+                while low and x and t[low - 1] == texts[a][x - 1]:
+                    low, x = low - 1, x - 1
+                while high < len(t) and y < len(texts[b]) and t[high] == texts[b][y]:
+                    high, y = high + 1, y + 1
+                gone[low:high] = b"\1" * (high - low)
+            if c is not None:
+                first.setdefault(c, (i, at))
+                at += len(c.decode())
+        out, low = "", 0
+        for flag, group in itertools.groupby(gone):
+            piece = t[low : low + len(list(group))]
+            low += len(piece)
+            if not flag or (len(piece.split()) < 40 and len(piece.encode()) < 320):
+                out += piece
+        want.append(out)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["text"] for r in chunk_dedup.strip_repeats(frame).collect()}
     assert [got[i] for i in range(len(texts))] == want

@@ -39,3 +39,30 @@ def test_a_long_text_of_many_runs_in_linear_time(spark):
     strip(100)
     short, long = strip(1500), strip(12000)
     assert long < 10 * short + 5
+
+
+def test_passages_of_51_words_go_to_their_true_ends(spark):
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("bcdfghlmnprst") + rng.choice("aeiou") * rng.randrange(1, 3) + rng.choice("lmnrst") + rng.choice(["", "er", "ing"]) + str(rng.randrange(30)) for _ in range(n)]
+    passages = [" ".join(words(51)) for _ in range(200)]
+    rows, want = [], {}
+    for i, passage in enumerate(passages):
+        for k in range(3):
+            before, after = (" ".join(words(rng.randrange(5, 120))) for _ in range(2))
+            rows.append((3 * i + k, f"{before} {i}{k}\n{passage}\n{k} {after}"))
+            want[3 * i + k] = before, after, passage
+    rows += [(1000 + i, " ".join(words(200)) + " " + " ".join(passages[i].split()[:12]) + " " + " ".join(words(50))) for i in range(50)]
+    out = {r["doc_id"]: r for r in chunk_dedup.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = 0
+    for doc_id, text in rows[:600]:
+        if doc_id % 3 == 0:
+            assert out[doc_id]["text"] == text
+            continue
+        gone += out[doc_id]["text"] != text
+        if out[doc_id]["text"] != text:
+            before, after, passage = want[doc_id]
+            removed = len(text) - len(out[doc_id]["text"])
+            assert len(passage) <= removed <= len(passage) + 8 and out[doc_id]["text"].startswith(before) and out[doc_id]["text"].endswith(after)
+            assert [doc_id - doc_id % 3 <= r["first_doc_id"] < doc_id for r in out[doc_id]["runs"]] == [True]
+    assert gone >= 398
+    assert all(out[doc_id]["text"] == text for doc_id, text in rows[600:])
