@@ -16,7 +16,7 @@ def url_filters(rules: tuple[tuple[str, str], ...]) -> str:
     return f"""
 WITH RECURSIVE rules(verdict, rule) AS (VALUES {values}),
 tags AS (
-  SELECT url AS from_url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag
+  SELECT url AS from_url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b(?:[^>=]|=\\s*(?:"[^"]*"|''[^'']*'')?)*>')) AS tag
   FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
 attrs AS (
   SELECT from_url, {attribute.format("rel")} AS rel, {attribute.format("href")} AS href,
@@ -30,7 +30,7 @@ based AS (
   SELECT from_url, href, regexp_extract(from_url, '(?s)^(.*?)://', 1) AS scheme, translate(regexp_extract(rest, '^([^/?#]*)', 1), {upper}) AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT from_url, href, {rest.replace("url", "from_url")} AS rest FROM hrefs WHERE href IS NOT NULL AND from_url IS NOT NULL)),
-links AS (
+joined AS (
   SELECT * FROM (
     SELECT from_url, CASE
       WHEN href = '' THEN NULL
@@ -41,6 +41,17 @@ links AS (
       WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
       ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || href END AS to_url
     FROM based) WHERE to_url IS NOT NULL),
+cut AS (
+  SELECT from_url, to_url, regexp_extract(to_url, '(?s)^(.*?://[^/?#]*)', 1) AS place, regexp_extract(to_url, '(?s)://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(to_url, '(?s)://[^?#]*(.*)$', 1) AS rest FROM joined),
+segments AS (SELECT *, string_split(substr(path, 2), '/') AS s FROM cut),
+-- A segment stays unless, up to some later one, the steps up outnumber the names since it.
+links AS (
+  SELECT from_url, CASE WHEN regexp_matches(path, '/\\.\\.?(/|$)') THEN place || '/' || array_to_string(
+    [s[i] FOR i IN range(1, len(s) + 1) IF s[i] NOT IN ('.', '..') AND
+      NOT coalesce(list_bool_or([list_sum([CASE x WHEN '..' THEN 1 WHEN '.' THEN 0 ELSE -1 END FOR x IN s[i + 1:j]]) > 0 FOR j IN range(i + 1, len(s) + 1)]), false)]
+    || CASE WHEN s[-1] IN ('.', '..') THEN [''] ELSE [] END, '/') || rest ELSE to_url END AS to_url
+  FROM segments),
 places AS (
   SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), {upper}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
          CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), {upper}) || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from dossier.llm.common import settle
 from dossier.llm.graph import components
 
+# Possessive, so that the match runs in a loop without a stack however long a tag is.
+TAG = "(?i)<(?:link|meta)\\b(?:[^>=]++|=\\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,6 +72,20 @@ def judge_places(places: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.verdict")
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with ``.`` and ``..`` segments of its path taken out; ``..`` at the root goes nowhere."""
+    path, empty = path_of(url), F.array().cast("array<string>")
+    before, after = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(_rest(url), "(?s)^[^?#]*(.*)$", 1)
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    kept = F.aggregate(
+        segments, empty,
+        lambda stack, s: F.when(s == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(s == ".", stack).otherwise(F.concat(stack, F.array(s))),
+    )
+    folder = F.when(path.rlike("/\\.\\.?$"), F.array(F.lit(""))).otherwise(empty)
+    plain = F.concat(before, F.lit("/"), F.array_join(F.concat(kept, folder), "/"), after)
+    return F.when(path.rlike("/\\.\\.?(/|$)"), plain).otherwise(url)
+
+
 def _resolve(base: Column, href: Column) -> Column:
     """An absolute URL for ``href`` found on the page ``base``."""
     scheme = F.regexp_extract(base, "(?s)^(.*?)://", 1)
@@ -84,9 +100,13 @@ def _resolve(base: Column, href: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``from_url, to_url`` of every canonical link and refresh redirect found in the pages."""
+    """``from_url, to_url`` of every canonical link and refresh redirect found in the pages.
+
+    A tag ends at the first ``>`` outside a quoted value; one that never ends is none. Relative
+    links are resolved against the page's URL and lose their dot segments.
+    """
     url, html = F.col(url_col).alias("from_url"), F.col(html_col)
-    found = F.filter(F.regexp_extract_all(html, F.lit("(?i)<(?:link|meta)\\b[^>]*>"), F.lit(0)), lambda t: t.rlike("(?i)canonical|http-equiv"))
+    found = F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike("(?i)canonical|http-equiv"))
     tag = F.col("tag")
 
     def attribute(name: str) -> Column:
@@ -99,9 +119,9 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         F.lower("http") == "refresh", F.regexp_extract("cont", "(?is)url\\s*=\\s*[\"']?([^\"'\\s]+)", 1),
     )
     hrefs = settle(read.select("from_url", F.trim(F.replace(target, F.lit("&amp;"), F.lit("&"))).alias("href")).where("href IS NOT NULL"), "hrefs")
-    return settle(hrefs.select("from_url", _resolve(F.col("from_url"), F.col("href")).alias("to_url")), "edges").where(
-        "from_url IS NOT NULL AND to_url IS NOT NULL",
-    )
+    return settle(
+        settle(hrefs.select("from_url", _resolve(F.col("from_url"), F.col("href")).alias("to_url")), "resolved").select("from_url", without_dots(F.col("to_url")).alias("to_url")), "edges",
+    ).where("from_url IS NOT NULL AND to_url IS NOT NULL")
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
