@@ -54,6 +54,30 @@ def top_tags(docs: DataFrame, tags: str, limit: int = K.TAG_LIST_SIZE) -> DataFr
     )
 
 
+def partial_counts(docs: DataFrame) -> DataFrame:
+    """``(dimension, value, cnt)`` of one batch; such counts add up over batches.
+
+    ``docs``: doc_type, direction, topics (array, nulls and repeats count as they stand) and n_chunks.
+    One scan: every row gives its few values, which combine before the shuffle.
+    """
+    entry = lambda dimension, value, n: F.struct(F.lit(dimension).alias("dimension"), value.cast("string").alias("value"), n.cast("long").alias("n"))
+    one, none = F.lit(1), F.lit(None)
+    topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: entry("topic", t, one))
+    fixed = F.array(
+        entry("documents", none, one), entry("chunks", none, F.coalesce("n_chunks", F.lit(0))),
+        entry("doc_type", F.col("doc_type"), one), entry("direction", F.col("direction"), one),
+    )
+    rows = docs.select(F.inline(F.concat(fixed, topics)))
+    return rows.where("value IS NOT NULL OR dimension IN ('documents', 'chunks')").groupBy("dimension", "value").agg(F.sum("n").alias("cnt"))
+
+
+def merged(counts: DataFrame, tags: int = K.TAG_LIST_SIZE) -> DataFrame:
+    """Counts of many batches added up; of the topics only the ``tags`` most frequent, ties by name."""
+    total = counts.groupBy("dimension", "value").agg(F.sum("cnt").alias("cnt"))
+    top = total.where("dimension = 'topic'").orderBy(F.desc("cnt"), F.asc("value")).limit(tags)
+    return total.where("dimension <> 'topic'").unionByName(top)
+
+
 def optional_filter(
     docs: DataFrame,
     *,

@@ -14,6 +14,7 @@ from dossier.operators.assembly import choose_text, split_rejects
 from dossier.operators.chunking import chunk_table, structural_chunks
 from dossier.operators.dedupe import not_stored
 from dossier.operators.metadata import REPLY_SCHEMA, doc_types, normalise
+from dossier.operators.stats import partial_counts
 from dossier.session import cut_lineage
 from dossier.sources.store import Store
 
@@ -85,7 +86,7 @@ def to_documents(
 def ingest(
     batch: DataFrame, store: Store, batch_id: str, ingested_at: Column | None = None
 ) -> DataFrame:
-    """Writes documents, chunks and history of one batch and returns the documents written.
+    """Writes documents, chunks, history and counts of one batch and returns the documents written.
 
     Replaying a batch id replaces its own partitions and sees the store without them.
     """
@@ -93,11 +94,12 @@ def ingest(
     batch = completed(batch)
     rows = fresh_rows(batch, store.stored_hashes(batch, without=batch_id))
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
-    # Cutting the text is the costly step; all three tables start from these checkpointed rows.
+    # Cutting the text is the costly step; all tables start from these checkpointed rows.
     prepared = cut_lineage(to_documents(rows, doc_types(spark), stamp))
     store.write_documents(prepared, batch_id)
     store.write_chunks(chunk_table(prepared, F.col("_chunks"), keep=["direction"]), batch_id)
     store.write_history(prepared, batch_id)
+    store.write_counts(partial_counts(prepared), batch_id)
     return store.documents().where(F.col("batch_id") == batch_id)
 
 

@@ -27,6 +27,7 @@ DOCUMENT_SCHEMA = (
 CHUNK_SCHEMA = "chunk_id string, doc_id string, pos int, text string"
 HISTORY_SCHEMA = "doc_no string"
 HASH_SCHEMA, HASH_PARTS = "sha256 string", 64
+COUNT_SCHEMA = "dimension string, value string, cnt long"
 READ_COLUMNS = ("doc_id", "doc_no", "issued_on", "doc_type", "issuer", "subject", "full_text")
 
 
@@ -74,6 +75,10 @@ class Store:
             self.spark, f"{self.folder}/history", HISTORY_SCHEMA, "batch_id string, direction string"
         )
 
+    def counts(self) -> DataFrame:
+        """Counts of every batch, see ``operators.stats.partial_counts``; they add up."""
+        return _read(self.spark, f"{self.folder}/counts", COUNT_SCHEMA, "batch_id string")
+
     def hashes(self, parts: Sequence[int] | None = None) -> DataFrame:
         """Hashes of the stored contents; ``parts`` (of ``hash_part``) prunes the partitions read."""
         rows = _read(self.spark, f"{self.folder}/hashes", HASH_SCHEMA, "batch_id string, part int")
@@ -100,6 +105,9 @@ class Store:
         rows = docs.where(F.coalesce("doc_no", F.lit("")) != "").select("doc_no", "direction").distinct()
         _write(rows, f"{self.folder}/history", batch_id, ["direction"])
 
+    def write_counts(self, counts: DataFrame, batch_id: str) -> None:
+        _write(counts.select(*_names(COUNT_SCHEMA)), f"{self.folder}/counts", batch_id)
+
 
 def read_documents(
     docs: DataFrame, where=None, limit: int | None = K.READ_LIMIT, columns: Sequence[str] = READ_COLUMNS,
