@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier import constants as K
-from dossier.session import cut_lineage
+from dossier.session import written
 
 LONGEST = 3
 # What parts literal runs: wildcards, and a backslash with the character it stands before.
@@ -56,23 +56,26 @@ def match_terms(docs: DataFrame, terms: DataFrame, columns: Sequence[str], *, id
 
     ``%`` and ``_`` in a term are wildcards unless a backslash stands before them; the empty term finds every row
     with a value. Null terms and null values find nothing. Rows are told apart by ``id_column``;
-    one row comes for each distinct term and id. Values are shuffled only under n-grams that some term
-    asks for.
+    one row comes for each distinct term and id. Each distinct value is searched once, however many rows hold it, and
+    is shuffled only under n-grams that some term asks for. Intermediate tables are written, because a table
+    of n-grams planned on its estimate would be broadcast.
     """
-    wanted = cut_lineage(term_grams(terms, term))
+    wanted = written(term_grams(terms, term), "term-grams")
     values = docs.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(F.array(*[F.col(c).cast("string") for c in columns]))).alias("value")).where("value IS NOT NULL")
-    keyed = values.select("id", F.xxhash64("value").alias("at"), F.explode(grams("value")).alias("gram"))
-    held = cut_lineage(keyed.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    values = values.withColumn("digest", F.unhex(F.sha2("value", 256)))
+    texts = written(values.groupBy("digest").agg(F.min("value").alias("value")).withColumn("at", F.monotonically_increasing_id()), "values")
+    held = written(texts.select("at", F.explode(grams("value")).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "held-grams")
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A gram that no value holds rules its term out.
     rarest = wanted.join(counts, "gram", "left").groupBy("term", "literal").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-    keys = rarest.where("best.n > 0").select("term", "literal", F.col("best.gram").alias("gram"))
-    candidates = held.join(keys, "gram").select("id", "at", "term", "literal")
-    met = candidates.join(values.withColumn("at", F.xxhash64("value")), ["id", "at"])
+    keys = written(rarest.where("best.n > 0").select("term", "literal", F.col("best.gram").alias("gram")), "keys")
+    met = held.join(keys, "gram").select("at", "term", "literal").join(texts.select("at", "value"), "at")
     # A backslash before a plain character means that character; ILIKE would refuse it.
     pattern = F.concat(F.lit("%"), F.regexp_replace("term", r"(\\[%_\\])|\\(?=.)", "$1"), F.lit("%"))
     fits = F.when(F.col("literal"), F.contains(F.lower("value"), F.lower("term"))).otherwise(F.expr("value ILIKE pattern"))
-    return met.withColumn("pattern", pattern).where(fits).select("term", "id").distinct()
+    found = written(met.withColumn("pattern", pattern).where(fits).select("term", "at"), "found")
+    placed = values.select("id", "digest").join(texts.select("digest", "at"), "digest").select("id", "at")
+    return placed.join(found, "at").select("term", "id").distinct()
 
 
 def newest_per_term(

@@ -5,6 +5,7 @@ from itertools import chain
 
 from pyspark.sql import functions as F
 
+from dossier.operators import substrings
 from dossier.operators.stats import partial_counts
 from dossier.operators.substrings import match_terms, newest_per_term
 from dossier.plans.ingest import ingest
@@ -68,3 +69,26 @@ def test_topics_and_odd_rows(spark):
     got = sorted(((r["dimension"], r["value"] or "", r["cnt"]) for r in partial_counts(docs).collect()))
     assert got == sorted(chain([("documents", "", 4), ("chunks", "", 7), ("doc_type", "t", 2), ("doc_type", "", 1), ("direction", "in", 3), ("topic", "a", 1), ("topic", "b", 2)]))
     assert partial_counts(docs.limit(0)).count() == 0
+
+
+def _record(monkeypatch):
+    """Rows of each table that a search writes."""
+    seen, plain = {}, substrings.written
+
+    def written(df, name):
+        out = plain(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "written", written)
+    return seen
+
+
+def test_a_value_of_many_rows_is_searched_once(spark, monkeypatch):
+    """Ten times the rows of the same values: the tables of n-grams and candidates stay as they are."""
+    seen = _record(monkeypatch)
+    terms = spark.createDataFrame([("lue ri",), ("b_ue",), ("zzz",)], "term string")
+    for copies in (10, 100):
+        docs = spark.range(copies * 3).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("blue ring"), F.lit("hot bolt"), F.lit("Blue")), (F.col("id") % 3 + 1).cast("int")).alias("text"))
+        assert match_terms(docs, terms, ["text"]).count() == copies * 3
+    assert all(small == large for small, large in seen.values()) and set(seen) >= {"held-grams", "found"}
