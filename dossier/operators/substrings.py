@@ -19,6 +19,7 @@ from dossier.session import written
 LONGEST = 3
 # What parts literal runs: wildcards, and a backslash with the character it stands before.
 BREAKS = r"(?s)\\.|\\$|[%_]"
+SPACES = r"[ \t\n\x0B\f\r]+"
 
 
 def grams(text: Column | str, sizes: Sequence[int] = range(LONGEST + 1)) -> Column:
@@ -82,11 +83,33 @@ def newest_per_term(
     docs: DataFrame, terms: DataFrame, columns: Sequence[str], *, date_column: str, id_column: str = "doc_id", term: str = "term",
     limit: int = K.LISTING_SIZE, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The newest ``limit`` hits of each term: ``(term, id_column, date_column, *keep, hit_rank)``; undated last, ties by id."""
-    hits = match_terms(docs, terms, columns, id_column=id_column, term=term).withColumnRenamed("id", id_column)
-    dated = hits.join(docs.select(id_column, date_column), id_column)
-    order = Window.partitionBy("term").orderBy(F.desc_nulls_last(date_column), F.asc(id_column))
-    best = dated.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit)
+    """The newest ``limit`` hits of each term: ``(term, id_column, date_column, *keep, hit_rank)``; undated last, ties by id.
+
+    A term without wildcard and white space stands in a row where it stands in one of its words. Such terms
+    are searched in the distinct words, each word keeps its newest ``limit`` rows, and a term's list is
+    chosen from those of its words; so the work is in line with the text and not with the hits. The other
+    terms are searched in the whole values.
+    """
+    rows = written(docs.select(F.col(id_column).alias("_id"), F.col(date_column).alias("_date"), *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)],
+                               *[F.col(c).alias(f"_k_{c}") for c in keep], F.monotonically_increasing_id().alias("_row")), "rows")
+    cells = [f"_c{i}" for i in range(len(columns))]
+    asked = terms.select(F.col(term).alias("term")).where("term IS NOT NULL").distinct()
+    one_word = ~F.col("term").rlike(BREAKS) & ~F.lower("term").rlike(SPACES) & (F.col("term") != "")
+    asked = written(asked.withColumn("one_word", one_word), "terms")
+
+    words = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.split(F.lower(c), SPACES), F.array().cast("array<string>")) for c in cells])))
+    said = rows.select("_row", "_id", "_date", F.explode(words).alias("word")).where("word <> ''")
+    vocabulary = written(said.select("word").distinct(), "vocabulary")
+    holding = written(match_terms(vocabulary, asked.where("one_word"), ["word"], id_column="word").withColumnRenamed("id", "word"), "holding")
+    newest = lambda key: Window.partitionBy(key).orderBy(F.desc_nulls_last("_date"), F.asc("_id"), "_row")
+    of_word = said.join(holding.select("word").distinct(), "word", "left_semi").withColumn("_rn", F.row_number().over(newest("word"))).where(F.col("_rn") <= limit)
+    # Read once per term that a word holds, hence written.
+    hits = written(of_word.drop("_rn"), "newest-of-words").join(holding, "word").select("term", "_row", "_id", "_date").distinct()
+    others = asked.where("NOT one_word")
+    if not others.isEmpty():
+        whole = match_terms(rows, others, cells, id_column="_row").withColumnRenamed("id", "_row")
+        hits = hits.unionByName(whole.join(rows.select("_row", "_id", "_date"), "_row"))
+    best = hits.withColumn("hit_rank", F.row_number().over(newest("term"))).where(F.col("hit_rank") <= limit)
     if keep:
-        best = best.join(docs.select(id_column, *keep), id_column)
-    return best.select("term", id_column, date_column, *keep, "hit_rank")
+        best = best.join(rows.select("_row", *[F.col(f"_k_{c}").alias(c) for c in keep]), "_row")
+    return best.select("term", F.col("_id").alias(id_column), F.col("_date").alias(date_column), *keep, "hit_rank")

@@ -92,3 +92,21 @@ def test_a_value_of_many_rows_is_searched_once(spark, monkeypatch):
         docs = spark.range(copies * 3).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("blue ring"), F.lit("hot bolt"), F.lit("Blue")), (F.col("id") % 3 + 1).cast("int")).alias("text"))
         assert match_terms(docs, terms, ["text"]).count() == copies * 3
     assert all(small == large for small, large in seen.values()) and set(seen) >= {"held-grams", "found"}
+
+
+def test_newest_of_each_term_as_by_brute_force(spark, monkeypatch):
+    """Frequent and rare terms, wildcards, white space inside, undated rows, rows of one id; hits are cut before they are gathered."""
+    seen, rng = _record(monkeypatch), random.Random(4)
+    word = lambda: "".join(rng.choice("abcÀé") for _ in range(rng.randrange(1, 5)))
+    text = lambda: rng.choice([" ", "\n", "\t"]).join(word() for _ in range(rng.randrange(0, 12)))
+    rows = [(i // 2 if i < 20 else i, text(), rng.choice([None, text()]), rng.choice([None, 1, 2, 3])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, a string, b string, day int")
+    terms = [t for t in {word() for _ in range(60)} | {"a b", "b\nc", "a%c", "_", "", "AB", "nowhere"}]
+    out = newest_per_term(docs, spark.createDataFrame([(t,) for t in terms] + [(None,)], "term string"), ["a", "b"], date_column="day", limit=3, keep=["a"]).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["term"], r["hit_rank"])):
+        got.setdefault(r["term"], []).append((r["doc_id"], r["day"]))
+    for t in terms:
+        every = docs.withColumn("t", F.lit(t)).where("a ILIKE concat('%', t, '%') OR b ILIKE concat('%', t, '%')").orderBy(F.desc_nulls_last("day"), "doc_id").limit(3)
+        assert got.get(t, []) == [(r["doc_id"], r["day"]) for r in every.collect()], t
+    assert seen["newest-of-words"][0] <= 3 * seen["vocabulary"][0]
