@@ -3,29 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier import constants as K
-from dossier.functions.text import tokens
+from dossier.functions.text import bound, tokens
+from dossier.session import written
 
 SCORE_DIGITS = 9
+# Pairs of chunk and query that one task sums up in memory, and (query, term) rows that travel to every task at once.
+PAIRS, QUERY_TERMS = 1 << 19, 1 << 20
 
 
-def _with_tokens(rows: DataFrame, row_id: str, text: str, keep: Sequence[str]) -> DataFrame:
-    """Tokens with their number. The number is taken below the explode: taken beside it, the
-    whole array would be copied into every exploded row."""
-    toks = rows.select(row_id, *keep, tokens(text).alias("_t"))
-    return toks.select(row_id, *keep, "_t", F.size("_t").alias("dl"))
+def _counted(rows: DataFrame, row_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(row_id, *keep, dl, terms)``: the row's length in terms, and each distinct term with its occurrences.
+
+    Counting sorts the terms inside the row, so an occurrence is never a row of its own.
+    """
+
+    def runs(t: Column) -> Column:
+        last = F.size(t) - 1
+        first = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        of = lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), last + 1) - i).alias("tf")))
+        return F.when(last >= 0, bound(first, of))
+
+    toks = rows.select(row_id, *keep, F.array_sort(tokens(text)).alias("_t"))
+    return toks.select(row_id, *keep, F.size("_t").alias("dl"), bound(F.col("_t"), runs).alias("terms"))
+
+
+def _flat(counted: DataFrame, row_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(row_id, *keep, dl, term, tf)`` of rows that lie together by ``row_id``; equal rows of one id are added."""
+    flat = counted.select(row_id, *keep, "dl", F.inline("terms"))
+    return flat.groupBy(row_id, *keep, "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
 def term_counts(rows: DataFrame, row_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """``(row_id, dl, term, tf)``: occurrences of each term and the row's length in terms."""
-    flat = _with_tokens(rows, row_id, text, keep).select(
-        row_id, *keep, "dl", F.explode("_t").alias("term")
-    )
-    return flat.groupBy(row_id, *keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _flat(_counted(rows, row_id, text, keep).repartition(row_id), row_id, keep)
 
 
 def _document_weight(avg_dl: Column, k1: float, b: float) -> Column:
@@ -42,9 +58,10 @@ def sparse_weights(
     k1: float = K.BM25_K1, b: float = K.BM25_B,
 ) -> DataFrame:
     """The stored form: ``(chunk_id, term, weight)`` with weight > 0, idf included."""
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(text))).alias("avg_dl"))
-    counts = term_counts(chunks.where(F.col(text).isNotNull()), chunk_id, text)
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = written(_counted(chunks, chunk_id, text), "counted")
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+    counts = _flat(counted.repartition(chunk_id), chunk_id)
+    df = written(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     n, avg_dl = stats.select("n").scalar(), stats.select("avg_dl").scalar()
     weight = _idf(n, F.col("df")) * _document_weight(avg_dl, k1, b)
     return counts.join(df, "term").select(chunk_id, "term", weight.alias("weight"))
@@ -65,40 +82,45 @@ def sparse_topk(
 ) -> DataFrame:
     """``(query_id, chunk_id, sparse_score, sparse_rank)``: best ``n`` chunks sharing a term.
 
-    A query's filter that is null or ``''`` is absent. Only terms that some query uses survive the first join, so the text is reduced before it is
-    shuffled. One exchange by chunk carries counting and scoring; the per-query cut is applied in
-    each task before the exchange by query.
+    A query's filter that is null or ``''`` is absent. The chunks' counts are written once and dealt by
+    chunk to so many tasks that each meets at most about ``PAIRS`` pairs of chunk and query; that exchange
+    carries frequencies and scores. The queries are a stated set: their weights go to the tasks, in blocks of
+    at most ``QUERY_TERMS`` rows, so counts are not shuffled by term, and the per-query cut is applied in each
+    task before the exchange by query.
     """
     queries = queries.withColumns({f: F.nullif(F.col(f), F.lit("")) for f in filters})
-    q_counts = term_counts(queries, query_id, query_text, filters).withColumnRenamed("tf", "qtf")
-    q_terms = q_counts.select("term").distinct()
-
-    toks = _with_tokens(chunks, chunk_id, text, filters)
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+    q_counts = written(term_counts(queries, query_id, query_text, filters).withColumnRenamed("tf", "qtf"), "query-terms")
+    held = written(_counted(chunks, chunk_id, text, filters), "counted")
+    asked = q_counts.agg(F.count(F.lit(1)).alias("terms"), F.countDistinct(query_id).alias("queries")).first()
+    width = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(width, -(-held.count() * asked["queries"] // PAIRS))
+    blocks = max(1, -(-asked["terms"] // QUERY_TERMS))
+    of_block = lambda i: q_counts.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) if blocks > 1 else q_counts
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
     total, avg_dl = stats.select("n").scalar(), stats.select("avg_dl").scalar()
-
-    counts = (
-        toks.select(chunk_id, *filters, "dl", F.explode("_t").alias("term"))
-        .join(q_terms, "term", "left_semi")
-        .repartition(chunk_id)
-        .groupBy(chunk_id, *filters, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q_weights = q_counts.join(df, "term").select(
-        query_id,
-        "term",
-        *[F.col(f).alias(f"_q_{f}") for f in filters],
-        (F.col("qtf") * _idf(total, F.col("df"))).alias("q_weight"),
-    )
-    pairs = counts.withColumn("c_weight", _document_weight(avg_dl, k1, b)).join(q_weights, "term")
-    for f in filters:
-        pairs = pairs.where(F.col(f"_q_{f}").isNull() | (F.col(f"_q_{f}") == F.col(f)))
-    # Sums of doubles differ in the last bits with their order, hence the rounding before ranking.
-    scored = pairs.groupBy(query_id, chunk_id).agg(
-        F.round(F.sum(F.col("q_weight") * F.col("c_weight")), SCORE_DIGITS).alias("sparse_score")
-    )
+    dealt = held.repartition(width, chunk_id)
+
+    def scored(q_counts: DataFrame) -> DataFrame:
+        wanted = F.broadcast(q_counts.select("term").distinct())
+        found = dealt.select(chunk_id, *filters, "dl", F.inline("terms")).join(wanted, "term", "left_semi")
+        counts = found.groupBy(chunk_id, *filters, "dl", "term").agg(F.sum("tf").alias("tf"))
+        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        q_weights = q_counts.join(df, "term").select(
+            query_id,
+            "term",
+            *[F.col(f).alias(f"_q_{f}") for f in filters],
+            (F.col("qtf") * _idf(total, F.col("df"))).alias("q_weight"),
+        )
+        pairs = counts.withColumn("c_weight", _document_weight(avg_dl, k1, b)).join(F.broadcast(q_weights), "term")
+        for f in filters:
+            pairs = pairs.where(F.col(f"_q_{f}").isNull() | (F.col(f"_q_{f}") == F.col(f)))
+        # Sums of doubles differ in the last bits with their order, hence the rounding before ranking.
+        return pairs.groupBy(query_id, chunk_id).agg(
+            F.round(F.sum(F.col("q_weight") * F.col("c_weight")), SCORE_DIGITS).alias("sparse_score")
+        )
+
+    every = reduce(DataFrame.unionByName, [scored(of_block(i)) for i in range(blocks)])
     order = Window.partitionBy(query_id).orderBy(F.desc("sparse_score"), F.asc(chunk_id))
-    return scored.withColumn("sparse_rank", F.row_number().over(order)).where(
+    return every.withColumn("sparse_rank", F.row_number().over(order)).where(
         F.col("sparse_rank") <= n
     )

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.operators.dense import _unit_rows
-from dossier.operators.sparse import _document_weight, _with_tokens, term_counts
+from dossier.operators.sparse import _counted, _document_weight, _flat
+from dossier.session import written
 
 PARTS, LEVELS_PER_UNIT = 64, 16
 # Vectors are gathered around at most CELLS of their own number; their centres fit a task's memory.
@@ -87,12 +88,12 @@ class ChunkIndex:
         return self
 
     def _write_postings(self, chunks: DataFrame, payload: Sequence[str], k1: float, b: float) -> None:
-        toks = _with_tokens(chunks, "chunk_id", "text", ())
-        toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).select("*", F.lit(k1).alias("k1"), F.lit(b).alias("b")).write.mode(
+        counted = written(_counted(chunks, "chunk_id", "text", payload), "counted")
+        counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).select("*", F.lit(k1).alias("k1"), F.lit(b).alias("b")).write.mode(
             "overwrite").parquet(f"{self.folder}/stats")
         stats = self.stats()
         weight = _document_weight(F.lit(stats["avg_dl"]).cast("double"), k1, b)
-        counts = term_counts(chunks, "chunk_id", "text", payload).withColumn("weight", weight)
+        counts = _flat(counted.repartition("chunk_id"), "chunk_id", payload).withColumn("weight", weight)
         rows = counts.withColumns({"part": term_part("term"), "level": F.floor(F.col("weight") * LEVELS_PER_UNIT).cast("int")})
         # The chunk is part of the order, so that a frequent term spreads over several ranges and files.
         keys = ["part", "term", "level", "chunk_id"]
