@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.functions.text import tokens
+from dossier.session import written
 
 
 def rrf(
@@ -58,11 +59,12 @@ def rerank(
 
     Result: ``(query_id, rank, chunk_id, text, score, *keep)``.
     """
+    # Written, so that the few chunks of the pool are sent to the texts and no text is shuffled to be left out.
+    pool = written(pool.select(query_id, chunk_id, "fused_rank"), "pool")
     q = queries.select(query_id, F.col(query_text).alias("_query_text"))
     c = chunks.select(chunk_id, F.col(text).alias("text"), *keep)
     scored = (
-        pool.select(query_id, chunk_id, "fused_rank")
-        .join(c.join(pool.select(chunk_id).distinct(), chunk_id, "left_semi"), chunk_id)
+        pool.join(c.join(pool.select(chunk_id).distinct(), chunk_id, "left_semi"), chunk_id)
         .join(q, query_id)
         .withColumn("score", score(F.col("_query_text"), F.col("text")))
     )

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from dossier.operators import sparse
+from dossier.operators.fusion import rerank
 
 
 def plan(df):
@@ -56,3 +57,11 @@ def test_counts_are_not_shuffled_by_term_however_large_the_tables(spark, tables)
     # The one sorted join is that of query terms with their frequencies.
     assert len(re.findall("BroadcastHashJoin", text)) >= 2 and "SortMergeJoin [term" in text
     assert all("tf" not in line for line in text.splitlines() if "hashpartitioning(term" in line and "qtf" not in line)
+
+
+def test_the_pool_is_written_before_it_meets_the_texts(spark, tables):
+    queries, chunks = tables
+    pool = spark.createDataFrame([(3, 4, 1), (3, 5, 2), (5, 5, 1)], "query_id long, chunk_id long, fused_rank int")
+    out = rerank(pool, queries, chunks, 2)
+    assert "/pool-" in plan(out)
+    assert sorted((r["query_id"], r["chunk_id"]) for r in out.collect()) == [(3, 4), (3, 5), (5, 5)]
