@@ -60,7 +60,11 @@ def sparse_weights(
     """The stored form: ``(chunk_id, term, weight)`` with weight > 0, idf included."""
     counted = written(_counted(chunks, chunk_id, text), "counted")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-    counts = _flat(counted.repartition(chunk_id), chunk_id)
+    # Only rows of one id must lie together to be added, and few are; the others stay where they are.
+    many = written(counted.groupBy(F.col(chunk_id).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), "repeated-ids")
+    same = F.col(chunk_id).eqNullSafe(F.col("_id"))
+    lone = counted.join(many, same, "left_anti").select(chunk_id, "dl", F.inline("terms")).withColumn("tf", F.col("tf").cast("long"))
+    counts = lone.unionByName(_flat(counted.join(many, same, "left_semi").repartition(chunk_id), chunk_id))
     df = written(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     n, avg_dl = stats.select("n").scalar(), stats.select("avg_dl").scalar()
     weight = _idf(n, F.col("df")) * _document_weight(avg_dl, k1, b)

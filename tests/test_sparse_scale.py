@@ -65,3 +65,19 @@ def test_the_pool_is_written_before_it_meets_the_texts(spark, tables):
     out = rerank(pool, queries, chunks, 2)
     assert "/pool-" in plan(out)
     assert sorted((r["query_id"], r["chunk_id"]) for r in out.collect()) == [(3, 4), (3, 5), (5, 5)]
+
+
+def test_weights_of_lone_rows_are_not_shuffled_and_those_of_one_id_are_added(tables):
+    _, chunks = tables
+    out = sparse.sparse_weights(chunks)
+    text = plan(out)
+    assert not re.search(r"hashpartitioning\(chunk_id#\d+L?, dl#", text)
+    got = {(r["chunk_id"], r["term"], round(r["weight"], 9)) for r in out.collect()}
+    rows = list(map(tuple, chunks.collect()))
+    cut = lambda t: [w.lower() for w in re.findall(r"\w+", t or "")]
+    known = [cut(t) for _, t in rows if t is not None]
+    avg, tf = sum(map(len, known)) / len(known), Counter((i, len(cut(t)), w) for i, t in rows for w in cut(t))
+    df = Counter(w for _, _, w in tf)
+    idf = lambda w: math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5))
+    assert tf[80, 2, "b"] == 2
+    assert got == {(i, w, round(idf(w) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg)), 9)) for (i, dl, w), f in tf.items()}
