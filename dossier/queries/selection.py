@@ -169,14 +169,15 @@ def q_ingest_batch(spark, sf_dir):
 
 
 def q_ingest_stream(spark, sf_dir):
-    """The documents as three landing files, taken one per micro-batch."""
+    """The documents as landing files, taken in three micro-batches; more partitions mean more files, not larger ones."""
     landing = scratch_path(spark, "landing")
     rows = _landing_rows(spark, sf_dir)
-    rows.repartition(3, "path").write.parquet(landing)
+    each = -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()) // 3)
+    rows.repartition(3 * each, "path").write.parquet(landing)
     store = Store(spark, scratch_path(spark, "store"))
     for _ in range(2):  # the second run finds nothing new
         ingest_landing(
-            spark, landing, store, landing + "-checkpoint", rows.schema, files_per_trigger=1
+            spark, landing, store, landing + "-checkpoint", rows.schema, files_per_trigger=each
         )
     return store.documents().select("sha256", F.length("full_text").alias("n_chars"))
 

@@ -127,3 +127,16 @@ def test_rows_equal_in_hash_and_order_are_inserted_once(spark):
     batch = spark.createDataFrame([("h", "p")] * 5 + [("g", "q")], "sha256 string, path string").repartition(3)
     got = insert_status(batch, batch.limit(0), "path").groupBy("sha256", "status").count().collect()
     assert {(r.sha256, r.status): r["count"] for r in got} == {("h", "inserted"): 1, ("h", "duplicate"): 4, ("g", "inserted"): 1}
+
+
+def test_landing_files_grow_in_number_and_come_in_three_batches(spark, sf_dir, monkeypatch):
+    from pathlib import Path
+
+    from dossier.queries import selection
+
+    paths, plain = {}, selection.scratch_path
+    monkeypatch.setattr(selection, "scratch_path", lambda s, name: paths.setdefault(name, plain(s, name)))
+    assert selection.q_ingest_stream(spark, sf_dir).count() > 0
+    folder = lambda name: Path(paths[name].removeprefix("file:"))
+    assert len(list(folder("landing").glob("*.parquet"))) > 3
+    assert len(list(folder("store").glob("documents/batch_id=*"))) == 3
