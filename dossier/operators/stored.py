@@ -2,9 +2,9 @@
 
 Lexical: a first look at the levels of highest bounds gives each query a floor, the n-th best of
 partial scores. A level of a term is left out where its greatest weight, with the greatest of all
-other terms, stays below the floor. Terms that cannot reach the floor together make no candidates;
-their postings are met by (term, chunk) of the candidates that other terms made, so a stop word
-never joins every chunk with every query.
+other terms, stays below the floor. Lists of the other levels are dealt by block of chunks, so a
+task adds up the scores of its chunks and passes on those that reach the floor; no occurrence is
+shuffled by itself, and ids and payload are met by what is left.
 
 Dense: the cosine with a member of a cell is at most cos(angle to the centre - radius). Cells are
 visited in the order of that bound until they hold enough vectors, which gives the floor; then all
@@ -16,6 +16,7 @@ Both bounds hold for every chunk, so the result is that of a full search.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.operators.dense import CHUNK_BATCH, SCORE_DIGITS, _Best, _codes, _fold, _keys, _plain, _queries_as_arrays, _result, _unit_rows, _UNKNOWN
-from dossier.operators.sparse import _idf, term_counts
-from dossier.session import cut_lineage
+from dossier.operators.sparse import PAIRS, QUERY_TERMS, _idf, term_counts
+from dossier.session import cut_lineage, written
 from dossier.sources.index import NO_DIRECTION, ChunkIndex, term_part
 
 # Bounds are compared with this slack, which is above the rounding of sums and below that of scores.
@@ -40,9 +41,9 @@ def _passes(rows: DataFrame, filters: Sequence[str]) -> DataFrame:
     return rows
 
 
-def _floor(scored: DataFrame, score: str, n: int) -> DataFrame:
+def _floor(scored: DataFrame, score: str, n: int, ties: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """``query_id, floor``: the n-th best score of each query that has so many."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("chunk_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), *ties)
     best = scored.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
     return best.groupBy("query_id").agg(F.min(score).alias("floor"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n).drop("_n")
 
@@ -86,24 +87,43 @@ def sparse_topk_stored(queries: DataFrame, index: ChunkIndex, n: int, *, filters
     """
     levels, parts = term_levels(queries, index, filters)
     flags = [f"_q_{f}" for f in filters]
-    postings = index.postings(parts).select("part", "term", "level", "chunk_id", "weight", *filters)
-    add = F.sum(F.col("q_weight") * F.col("weight"))
+    stats, postings, keys = index.stats(), index.postings(parts), ["part", "term", "level"]
+    asked = written(levels.select("query_id", *flags).distinct(), "asked")
+    once = not stats["repeated"]
+
+    def added(levels: DataFrame, deal: int) -> DataFrame:
+        """``query_id, block, place, score`` over the lists of these levels, which travel to the tasks with their queries."""
+        lists = postings.join(F.broadcast(levels.select(*keys).distinct()), keys, "left_semi").repartition(deal, "block")
+        met = lists.join(F.broadcast(levels.select("query_id", *keys, "q_weight")), keys)
+        met = met.select("query_id", "block", "q_weight", "weights", F.posexplode("places").alias("_i", "place"))
+        met = met.groupBy("query_id", "block", "place").agg(F.sum(F.col("q_weight") * F.get("weights", F.col("_i"))).alias("score"))
+        met = met.join(F.broadcast(levels.select("query_id", "floor").distinct()), "query_id").where(F.col("score") >= F.col("floor")).drop("floor")
+        if not filters:
+            return met
+        # A block's members are one row beside the task's pairs, which lie there by block already.
+        member = lambda f: F.get("members", F.col("place"))[f].alias(f)
+        held = met.join(index.blocks().select("block", "members").hint("shuffle_hash"), "block").select(*met.columns, *[member(f) for f in filters])
+        return _passes(held.join(F.broadcast(asked.join(levels.select("query_id").distinct(), "query_id", "left_semi")), "query_id"), filters).select(*met.columns)
+
+    def every(levels: DataFrame, deal: int, name: str) -> DataFrame:
+        blocks = max(1, -(-levels.count() // QUERY_TERMS))
+        of_block = lambda i: levels.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else levels
+        return written(reduce(DataFrame.unionByName, [added(of_block(i), deal) for i in range(blocks)]), name)
 
     falling = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
     first = levels.withColumn("_before", F.coalesce(F.sum("n").over(falling), F.lit(0))).where(F.col("_before") < FIRST_LOOK * n)
-    keys = ["part", "term", "level"]
-    looked = _passes(postings.join(first.select("query_id", *flags, *keys, "q_weight"), keys), filters).groupBy("query_id", "chunk_id").agg(add.alias("score"))
-    kept = cut_lineage(needed_levels(levels, _floor(looked, "score", n)))
-
-    makers = kept.where("maker").select("query_id", *flags, *keys, "q_weight", "floor", "rest")
-    made = _passes(postings.join(makers, keys), filters).groupBy("query_id", "chunk_id").agg(
-        add.alias("score"), F.min("floor").alias("floor"), F.min("rest").alias("rest"),
-    ).where(F.col("score") + F.col("rest") >= F.col("floor"))
-    made = cut_lineage(made.select("query_id", "chunk_id", "score"))
-    others = kept.where("NOT maker").select("query_id", "part", "term", "q_weight").distinct()
-    asked = made.select("query_id", "chunk_id").join(others, "query_id")
-    more = postings.join(asked, ["part", "term", "chunk_id"]).select("query_id", "chunk_id", (F.col("q_weight") * F.col("weight")).alias("score"))
-    scored = made.unionByName(more).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), SCORE_DIGITS).alias("sparse_score"))
+    first = written(first.select("query_id", *keys, "q_weight", F.lit(float("-inf")).alias("floor")), "first-look")
+    width = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An id of several rows adds up their scores, which no level bounds: such an index is searched without a floor.
+    floor = _floor(every(first, width, "looked"), "score", n, ["block", "place"]).where(F.lit(once))
+    kept = written(needed_levels(levels, floor).select("query_id", *keys, "q_weight", "floor"), "levels")
+
+    near = every(kept, max(width, -(-stats["n"] * asked.count() // PAIRS)), "near")
+    if once:
+        near = near.join(_floor(near, "score", n, []), "query_id", "left").where(F.col("score") >= F.coalesce("floor", F.lit(float("-inf"))) - SLACK)
+        near = written(near.drop("floor"), "nearest")
+    found = near.join(index.blocks().select("block", F.inline("members")), ["block", "place"])
+    scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), SCORE_DIGITS).alias("sparse_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sparse_score"), F.asc("chunk_id"))
     return scored.withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= n)
 

@@ -4,10 +4,12 @@ All of it is Parquet below one folder, written once per snapshot of the chunks a
 searches of ``operators.stored``. A search reads the partitions of its terms and cells only and
 never cuts a chunk's text into terms again.
 
-- ``postings``: (part, term, level, chunk, tf, dl, payload), partitioned by ``part`` (a hash of the term),
-  sorted by term and level inside. A level holds the occurrences whose weight lies in one step of
-  1/``LEVELS_PER_UNIT``, so a term has a fixed number of levels and a frequent term is not ranked anywhere.
-- ``levels``: (part, term, level, top, n, df): greatest weight and number of postings of each level.
+- ``postings``: (part, term, level, block, places, weights), partitioned by ``part`` (a hash of the term). Chunks lie in
+  ``blocks`` by a hash of their id, and a row lists the places of one block's chunks that hold the term, so neither
+  ids nor payload are repeated by occurrence and a frequent term is many rows. A level holds the occurrences whose
+  weight lies in one step of 1/``LEVELS_PER_UNIT``, so a term has a fixed number of levels and is not ranked anywhere.
+- ``blocks``: (block, members): id and payload of each place of a block.
+- ``levels``: (part, term, level, top, n, df): greatest weight and number of occurrences of each level.
 - ``vectors``: (cell, chunk, vector, payload), partitioned by cell; ``cells``: centre, radius, count of each.
 - ``chunks``: text and payload, clustered by payload, so that a filter reads few row groups.
 """
@@ -18,15 +20,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.operators.dense import _unit_rows
-from dossier.operators.sparse import _counted, _document_weight, _flat
+from dossier.operators.sparse import _counted, _document_weight
 from dossier.session import written
 
 PARTS, LEVELS_PER_UNIT = 64, 16
+# Chunks of a block, blocks that one task turns into postings, and blocks whose postings of a part share a file.
+BLOCK_ROWS, TASK_BLOCKS, FILE_BLOCKS = 4096, 8, 256
 # Vectors are gathered around at most CELLS of their own number; their centres fit a task's memory.
 CELLS, BATCH = 64, 4096
 NO_DIRECTION = -1
@@ -54,10 +58,13 @@ class ChunkIndex:
         return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.chunks().schema if f.name != "text")
 
     def postings(self, parts: Sequence[int] | None = None) -> DataFrame:
-        """Occurrences; ``parts`` prunes the partitions read (at most ``PARTS`` numbers)."""
-        rows = self._read("postings", f"{self._chunk_fields()}, dl int, term string, tf long, weight double, level int, part int")
+        """Lists of occurrences; ``parts`` prunes the partitions read (at most ``PARTS`` numbers)."""
+        rows = self._read("postings", "term string, level int, block int, places array<int>, weights array<double>, part int")
         return rows if parts is None else rows.where(F.col("part").isin(*parts))
 
+    def blocks(self) -> DataFrame:
+        return self._read("blocks")
+
     def levels(self) -> DataFrame:
         return self._read("levels", "term string, level int, top double, n long, df long, part int")
 
@@ -89,19 +96,35 @@ class ChunkIndex:
 
     def _write_postings(self, chunks: DataFrame, payload: Sequence[str], k1: float, b: float) -> None:
         counted = written(_counted(chunks, "chunk_id", "text", payload), "counted")
-        counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).select("*", F.lit(k1).alias("k1"), F.lit(b).alias("b")).write.mode(
-            "overwrite").parquet(f"{self.folder}/stats")
-        stats = self.stats()
-        weight = _document_weight(F.lit(stats["avg_dl"]).cast("double"), k1, b)
-        counts = _flat(counted.repartition("chunk_id"), "chunk_id", payload).withColumn("weight", weight)
-        rows = counts.withColumns({"part": term_part("term"), "level": F.floor(F.col("weight") * LEVELS_PER_UNIT).cast("int")})
-        # The chunk is part of the order, so that a frequent term spreads over several ranges and files.
-        keys = ["part", "term", "level", "chunk_id"]
-        rows.repartitionByRange(_ranges(rows), *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings")
-        stored = self.postings()
-        steps = stored.groupBy("part", "term", "level").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("n"))
-        total = stored.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
-        steps.join(total, ["part", "term"]).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/levels")
+        counts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).first()
+        blocks = max(1, -(-counts["n"] // BLOCK_ROWS))
+        tasks = max(_ranges(counted), -(-blocks // TASK_BLOCKS))
+        # Rows of one id and payload have one place: their occurrences are added.
+        place = F.dense_rank().over(Window.partitionBy("block").orderBy("chunk_id", *payload)) - 1
+        dealt = counted.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
+        placed = dealt.withColumn("place", place)
+
+        member = F.struct("place", "chunk_id", *payload)
+        placed.groupBy("block").agg(
+            F.array_sort(F.collect_set(member)).alias("members"), F.count(F.lit(1)).alias("rows"), F.size(F.collect_set(F.struct("chunk_id"))).cast("long").alias("ids"),
+        ).write.mode("overwrite").parquet(f"{self.folder}/blocks")
+        held = self.blocks().agg(F.sum("rows").alias("rows"), F.sum(F.size("members")).alias("places"), F.sum("ids").alias("ids")).first()
+        stats = [(counts["n"], counts["avg_dl"], k1, b, held["rows"] != held["ids"])]
+        self.spark.createDataFrame(stats, "n long, avg_dl double, k1 double, b double, repeated boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats")
+
+        flat = placed.select("block", "place", "dl", F.inline("terms"))
+        if held["rows"] != held["places"]:
+            flat = flat.groupBy("block", "place", "dl", "term").agg(F.sum("tf").alias("tf"))
+        weight = _document_weight(F.lit(counts["avg_dl"]).cast("double"), k1, b)
+        rows = flat.select("block", "place", "term", weight.alias("weight")).withColumn("level", F.floor(F.col("weight") * LEVELS_PER_UNIT).cast("int"))
+        # Both lists get the same occurrences in the same order; the tasks hold whole blocks, so nothing is shuffled by occurrence.
+        lists = rows.groupBy("block", "term", "level").agg(F.collect_list("place").alias("places"), F.collect_list("weight").alias("weights"))
+        lists = lists.withColumns({"part": term_part("term"), "_file": F.floor(F.col("block") / FILE_BLOCKS)})
+        lists.repartition(tasks, "part", "_file").drop("_file").sortWithinPartitions("part", "term", "level").write.mode("overwrite").partitionBy("part").parquet(
+            f"{self.folder}/postings")
+        steps = self.postings().groupBy("part", "term", "level").agg(F.max(F.array_max("weights")).alias("top"), F.sum(F.size("places")).alias("n"))
+        steps = steps.withColumn("df", F.sum("n").over(Window.partitionBy("part", "term")))
+        steps.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/levels")
 
     def _write_vectors(self, vectors: DataFrame, cells: int) -> None:
         """Vectors beside their nearest centre; a vector without direction lies in a cell that every search visits.

@@ -118,3 +118,15 @@ def test_a_filter_on_payload_reads_few_row_groups(spark, chunks, tmp_path):
 
 def test_cells_are_bounded(index):
     assert index.cells().count() <= CELLS + 1
+
+
+def test_lists_hold_a_block_of_chunks_and_rows_of_one_id_are_added(spark, asked, chunks, tmp_path):
+    """An occurrence is no row of its own; a repeated id, with other lengths and payload, gives the rows of a full search."""
+    again = chunks.where("chunk_id < 40").select("chunk_id", F.concat("text", F.lit(" the w1 w2")).alias("text"), "embedding", F.lit("a").alias("doc_type"), "issued")
+    twice = chunks.unionByName(again).unionByName(chunks.where("chunk_id < 9"))
+    index = ChunkIndex(spark, str(tmp_path / "twice")).write(twice, payload=["doc_type"], vector=None)
+    lists = index.postings()
+    assert "chunk_id" not in lists.columns and "doc_type" not in lists.columns
+    assert lists.where("term = 'the'").count() <= 64 < lists.where("term = 'the'").select(F.sum(F.size("places"))).first()[0]
+    for filters in ([], ["doc_type"]):
+        assert sorted(sparse_topk_stored(asked, index, 7, filters=filters).collect()) == sorted(sparse_topk(asked, twice, 7, filters=filters).collect())
