@@ -22,6 +22,8 @@ from dossier.session import cut_lineage
 BLOCK_BYTES = 64 << 20
 QUERY_BLOCK = 1024
 CHUNK_BATCH = 4096
+# Chunks in which a query's first floor is looked for, and products that are scored again at once.
+FIRST_LOOK, HITS = 512, 1 << 18
 SCORE_DIGITS = 9
 _ANY, _UNKNOWN = -1, -2
 
@@ -49,47 +51,63 @@ def _codes(column: pa.ChunkedArray | pa.Array, known: pa.Array, missing: int) ->
 
 
 class _Best:
-    """Best ``n`` (score down, chunk id up) per query row, folded batch by batch."""
+    """Best ``n`` (score down, chunk id up) per query row, folded batch by batch for one block of queries at a time."""
 
     def __init__(self, n: int):
         self.n = n
-        self.row = np.empty(0, np.int64)
-        self.score = np.empty(0)
-        self.chunk = None
-
-    def add(self, row: np.ndarray, score: np.ndarray, chunk: np.ndarray) -> None:
-        if self.chunk is not None:
-            row = np.concatenate([self.row, row])
-            score = np.concatenate([self.score, score])
-            chunk = np.concatenate([self.chunk, chunk])
+        self.blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def floor(self, low: int, size: int) -> np.ndarray:
+        """The n-th best score of each query of a block so far; minus infinity where there are fewer."""
+        out = np.full(size, -np.inf)
+        if low in self.blocks:
+            row, score, _ = self.blocks[low]
+            start, count = np.unique(row, return_index=True, return_counts=True)[1:]
+            full = count >= self.n
+            out[row[start[full]]] = score[start[full] + self.n - 1]
+        return out
+
+    def add(self, low: int, row: np.ndarray, score: np.ndarray, chunk: np.ndarray) -> None:
+        if low in self.blocks:
+            row, score, chunk = (np.concatenate(x) for x in zip(self.blocks[low], (row, score, chunk), strict=True))
         order = np.lexsort((chunk, -score, row))
         row, score, chunk = row[order], score[order], chunk[order]
-        start = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - start < self.n
-        self.row, self.score, self.chunk = row[keep], score[keep], chunk[keep]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.n
+        self.blocks[low] = row[keep], score[keep], chunk[keep]
 
 
 def _fold(
     best: _Best, queries: dict, chunk_ids: np.ndarray, chunk_unit: np.ndarray,
     chunk_codes: Sequence[np.ndarray], n: int, skip_same_id: bool,
 ) -> None:
+    """Products in single precision, whose error ``slack`` bounds, sort out what cannot reach a query's list; the rest is scored in double."""
+    thin, width = chunk_unit.astype(np.float32).T, len(chunk_unit)
+    slack = (chunk_unit.shape[1] + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
     for lo in range(0, len(queries["unit"]), QUERY_BLOCK):
-        hi = lo + QUERY_BLOCK
-        scores = np.round(queries["unit"][lo:hi] @ chunk_unit.T, SCORE_DIGITS) + 0.0
+        unit, key = queries["unit"][lo : lo + QUERY_BLOCK], queries["key"][lo : lo + QUERY_BLOCK]
+        scores = unit.astype(np.float32) @ thin
         for wanted, present in zip(queries["codes"], chunk_codes, strict=True):
-            wanted = wanted[lo:hi, None]
+            wanted = wanted[lo : lo + QUERY_BLOCK, None]
             scores[(wanted != _ANY) & (wanted != present[None, :])] = -np.inf
-        if skip_same_id:
-            scores[queries["key"][lo:hi, None] == chunk_ids[None, :]] = -np.inf
-        width = scores.shape[1]
-        if width > n:
-            floor = np.partition(scores, width - n, axis=1)[:, width - n]
-            hit = (scores >= floor[:, None]) & np.isfinite(scores)
-        else:
-            hit = np.isfinite(scores)
-        row, col = np.nonzero(hit)
-        if len(row):
-            best.add(row + lo, scores[row, col], chunk_ids[col])
+        floor = best.floor(lo, len(unit))
+        new, look = np.flatnonzero(floor == -np.inf), min(width, max(FIRST_LOOK, 4 * n))
+        if len(new) and look > n:
+            first = scores[new, :look]
+            first[np.isnan(first)] = -np.inf
+            if skip_same_id:
+                first[key[new, None] == chunk_ids[None, :look]] = -np.inf
+            floor[new] = np.partition(first, look - n, axis=1)[:, look - n] - slack
+        rows, cols = np.nonzero(scores >= (floor - slack).astype(np.float32)[:, None])
+        for at in range(0, len(rows), HITS):
+            row, col = rows[at : at + HITS], cols[at : at + HITS]
+            hit = scores[row, col] > -np.inf
+            if skip_same_id:
+                hit &= key[row] != chunk_ids[col]
+            row, col = row[hit], col[hit]
+            exact = np.round(np.einsum("ij,ij->i", unit[row], chunk_unit[col]), SCORE_DIGITS) + 0.0
+            hit = exact >= floor[row]
+            if hit.any():
+                best.add(lo, row[hit], exact[hit], chunk_ids[col[hit]])
 
 
 def _queries_as_arrays(table: pa.Table, query_id: str, vector: str, filters: Sequence[str]) -> dict:
@@ -107,13 +125,15 @@ def _queries_as_arrays(table: pa.Table, query_id: str, vector: str, filters: Seq
 
 
 def _result(best: _Best, queries: dict, names: Sequence[str], types: Sequence[pa.DataType]) -> pa.RecordBatch:
-    if best.chunk is None:
+    if not best.blocks:
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=list(names))
+    row = np.concatenate([low + row for low, (row, _, _) in best.blocks.items()])
+    score, chunk = (np.concatenate([block[i] for block in best.blocks.values()]) for i in (1, 2))
     return pa.RecordBatch.from_arrays(
         [
-            queries["ids"].take(pa.array(best.row)).cast(types[0]),
-            pa.array(best.chunk.tolist(), types[1]),
-            pa.array(best.score, types[2]),
+            queries["ids"].take(pa.array(row)).cast(types[0]),
+            pa.array(chunk.tolist(), types[1]),
+            pa.array(score, types[2]),
         ],
         names=list(names),
     )
