@@ -7,6 +7,9 @@ the one and b - o + 1 of the other, and what can still follow their first common
 rest. The value t is each probe's own: a first look at a few texts for its rarest trigrams gives a
 value that its n-th best match reaches at least, so a probe with near matches looks at few of its
 trigrams, the rarest. Only a probe without such matches goes down to the given threshold.
+
+Each set also has a bitmap of its hashed trigrams. Trigrams that only one of two sets holds set at least
+as many bits as the bitmaps differ in, so sets that differ in too many are left out before they are compared.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from dossier.session import cut_lineage
 LOOK_GRAMS, LOOK_TEXTS = 6, 24
 # Slightly below a bound, so that rounding never loses a pair at it.
 SLACK = 1e-6
+# Words of 64 bits in a set's bitmap.
+WORDS = 4
 
 
 def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,13 +40,25 @@ def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.join(heads, "grams").select("value", "node"), heads
 
 
+def _bitmap(grams: Column) -> Column:
+    bit = lambda g: F.pmod(F.xxhash64(g), F.lit(64 * WORDS)).cast("int")
+    word = lambda w: F.transform(F.filter(grams, lambda g: F.floor(bit(g) / 64) == w), lambda g: F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(g) % 64))
+    return F.struct(*[F.aggregate(word(w), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y)).alias(f"w{w}") for w in range(WORDS)])
+
+
+def most_shared(left: str, right: str, a: Column, b: Column) -> Column:
+    """A number that the trigrams shared by two sets of these sizes and bitmaps do not exceed."""
+    differ = [F.bit_count(F.col(left)[f"w{w}"].bitwiseXOR(F.col(right)[f"w{w}"])) for w in range(WORDS)]
+    return (a + b - sum(differ[1:], differ[0])) / 2
+
+
 def _ordered(sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(node, size, grams, known)``: trigrams rarest first; ``known`` of them stand in the corpus, behind the others."""
+    """``(node, size, grams, known, bits)``: trigrams rarest first; ``known`` of them stand in the corpus, behind the others."""
     flat = sets.select("node", F.explode("grams").alias("gram")).join(counts, "gram", "left")
     keyed = flat.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("keyed"))
     return keyed.select(
         "node", F.size("keyed").alias("size"), F.transform("keyed", lambda x: x["gram"]).alias("grams"), F.size(F.filter("keyed", lambda x: x["n"] > 0)).alias("known"),
-    )
+    ).withColumn("bits", _bitmap(F.col("grams")))
 
 
 def trigram_tables(probes: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -84,12 +101,13 @@ def similar_sets(left: DataFrame, right: DataFrame, floors: DataFrame, threshold
     a, b, t = F.col("left_size"), F.col("size"), F.col("least")
     overlap = F.ceil((a + b) * (t / (1 + t))).cast("int")
     least = F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(threshold)) - SLACK
-    probes = left.join(floors, F.col("node") == F.col("left_node"), "left").select(F.col("node").alias("left_node"), F.col("size").alias("left_size"), F.col("grams").alias("left_grams"), least.alias("least"))
+    probes = left.join(floors, F.col("node") == F.col("left_node"), "left").select(F.col("node").alias("left_node"), F.col("size").alias("left_size"), F.col("grams").alias("left_grams"), F.col("bits").alias("left_bits"), least.alias("least"))
     sized = probes.select("*", F.explode(F.sequence(F.ceil(a * t).cast("int"), F.floor(a / t).cast("int"))).alias("size"))
     probing = sized.withColumn("overlap", overlap).select("*", F.posexplode(F.slice("left_grams", F.lit(1), F.greatest(a - F.col("overlap") + 1, F.lit(0)))).alias("i", "gram"))
     longest = b - F.ceil(b * F.lit(threshold - SLACK)).cast("int") + 1
-    indexed = right.select("size", F.col("node").alias("right_node"), F.col("grams").alias("right_grams"), F.posexplode(F.slice("grams", F.lit(1), longest)).alias("j", "gram"))
+    indexed = right.select("size", F.col("node").alias("right_node"), F.col("grams").alias("right_grams"), F.col("bits").alias("right_bits"), F.posexplode(F.slice("grams", F.lit(1), longest)).alias("j", "gram"))
     met = probing.join(indexed, ["gram", "size"]).where(F.least(a - F.col("i"), b - F.col("j")) >= F.col("overlap"))
+    met = met.where(most_shared("left_bits", "right_bits", a, b) >= F.col("overlap"))
     # Both lists are in the same order, so a pair is kept at its first common trigram only.
     common = met.select("left_node", "right_node", "left_size", "size", "least", "gram", F.array_intersect("left_grams", "right_grams").alias("common"))
     found = common.where(F.col("gram") == F.get("common", F.lit(0))).select("left_node", "right_node", "least", _similarity(F.size("common"), a, b).alias("similarity"))

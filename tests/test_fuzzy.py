@@ -50,3 +50,15 @@ def test_pairs_grow_with_the_table_and_not_with_its_square(spark):
         n[scale] = (left.count(), fuzzy.similar_sets(left, right, fuzzy.first_look(left, right, 3, True), 0.4).count())
     assert n["0.1"][0] == 10 * n["0.01"][0]
     assert n["0.1"][1] < 15 * n["0.01"][1]
+
+
+def test_bitmaps_leave_out_pairs_that_cannot_share_enough_and_no_others(spark):
+    urls = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(F.col("url").alias("value"))
+    _, left, _, right = fuzzy.trigram_tables(urls, urls)
+    a, b = left.select(*[F.col(c).alias(f"l_{c}") for c in ("node", "size", "grams", "bits")]), right.select("node", "size", "grams", "bits")
+    shared = F.size(F.array_intersect("l_grams", "grams"))
+    most = fuzzy.most_shared("l_bits", "bits", F.col("l_size"), F.col("size"))
+    pairs = a.crossJoin(b).select(shared.alias("shared"), most.alias("most"), (F.col("l_size") + F.col("size")).alias("both"))
+    assert pairs.where("shared > most").count() == 0
+    far = pairs.where("shared < 0.3 * both").count()
+    assert pairs.where("shared < 0.3 * both AND most < 0.4 * both").count() > 0.5 * far > 0
