@@ -32,7 +32,8 @@ from dossier.sources.index import NO_DIRECTION, ChunkIndex, term_part
 SLACK = 1e-8
 # The first look stops once its levels hold this many times the places of the list.
 FIRST_LOOK = 4
-QUERY_ROWS, VECTOR_ROWS = 1024, 8192
+# Rows of a pair of blocks: queries are copied for each block of a cell's vectors, vectors for each block of its queries.
+QUERY_ROWS, VECTOR_ROWS = 1 << 16, 1 << 16
 
 
 def _passes(rows: DataFrame, filters: Sequence[str]) -> DataFrame:
