@@ -15,6 +15,8 @@ from dossier.session import written
 SCORE_DIGITS = 9
 # Pairs of chunk and query that one task sums up in memory, and (query, term) rows that travel to every task at once.
 PAIRS, QUERY_TERMS = 1 << 19, 1 << 20
+# Stands for the chunk itself among its terms; no term is empty.
+NO_TERM = ""
 
 
 def _counted(rows: DataFrame, row_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -39,6 +41,16 @@ def _flat(counted: DataFrame, row_id: str, keep: Sequence[str] = ()) -> DataFram
     return flat.groupBy(row_id, *keep, "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
+def _held(chunks: DataFrame, wanted: DataFrame | None, row_id: str, text: str, keep: Sequence[str]) -> DataFrame:
+    """``(row_id, *keep, dl, term, tf)``, written: a row of the term ``NO_TERM`` per chunk, and its counts of the terms in ``wanted`` (null: of all)."""
+    counted = _counted(chunks, row_id, text, keep)
+    none = F.array(F.struct(F.lit(NO_TERM).alias("term"), F.lit(0).alias("tf")))
+    flat = counted.select(row_id, *keep, "dl", F.inline(F.concat(none, F.coalesce("terms", F.slice(none, 1, 0)))))
+    if wanted is not None:
+        flat = flat.join(F.broadcast(wanted.union(wanted.sparkSession.range(1).select(F.lit(NO_TERM)))), "term", "left_semi")
+    return written(flat.select(row_id, *keep, "dl", "term", "tf"), "counted")
+
+
 def term_counts(rows: DataFrame, row_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """``(row_id, dl, term, tf)``: occurrences of each term and the row's length in terms."""
     return _flat(_counted(rows, row_id, text, keep).repartition(row_id), row_id, keep)
@@ -86,29 +98,30 @@ def sparse_topk(
 ) -> DataFrame:
     """``(query_id, chunk_id, sparse_score, sparse_rank)``: best ``n`` chunks sharing a term.
 
-    A query's filter that is null or ``''`` is absent. The chunks' counts are written once and dealt by
-    chunk to so many tasks that each meets at most about ``PAIRS`` pairs of chunk and query; that exchange
-    carries frequencies and scores. The queries are a stated set: their weights go to the tasks, in blocks of
-    at most ``QUERY_TERMS`` rows, so counts are not shuffled by term, and the per-query cut is applied in each
-    task before the exchange by query.
+    A query's filter that is null or ``''`` is absent. The chunks' counts of the terms asked for are written once
+    and dealt by chunk to so many tasks that each meets at most about ``PAIRS`` pairs of chunk and query; that
+    exchange carries frequencies and scores. The queries are a stated set: their terms and weights go to the tasks,
+    the weights in blocks of at most ``QUERY_TERMS`` rows (of several blocks, counts of all terms are written), so
+    counts are not shuffled by term, and the per-query cut is applied in each task before the exchange by query.
     """
     queries = queries.withColumns({f: F.nullif(F.col(f), F.lit("")) for f in filters})
     q_counts = written(term_counts(queries, query_id, query_text, filters).withColumnRenamed("tf", "qtf"), "query-terms")
-    held = written(_counted(chunks, chunk_id, text, filters), "counted")
     asked = q_counts.agg(F.count(F.lit(1)).alias("terms"), F.countDistinct(query_id).alias("queries")).first()
-    width = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(width, -(-held.count() * asked["queries"] // PAIRS))
     blocks = max(1, -(-asked["terms"] // QUERY_TERMS))
+    held = _held(chunks, q_counts.select("term").distinct() if blocks == 1 else None, chunk_id, text, filters)
+    stats = held.where(F.col("term") == NO_TERM).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).first()
+    total, avg_dl = F.lit(stats["n"]), F.lit(stats["avg_dl"]).cast("double")
+    width = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(width, -(-stats["n"] * asked["queries"] // PAIRS))
     of_block = lambda i: q_counts.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) if blocks > 1 else q_counts
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-    total, avg_dl = stats.select("n").scalar(), stats.select("avg_dl").scalar()
-    dealt = held.repartition(width, chunk_id)
+    dealt = held.where(F.col("term") != NO_TERM).repartition(width, chunk_id)
 
     def scored(q_counts: DataFrame) -> DataFrame:
         wanted = F.broadcast(q_counts.select("term").distinct())
-        found = dealt.select(chunk_id, *filters, "dl", F.inline("terms")).join(wanted, "term", "left_semi")
+        found = dealt.join(wanted, "term", "left_semi")
         counts = found.groupBy(chunk_id, *filters, "dl", "term").agg(F.sum("tf").alias("tf"))
-        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        # tf is never null; naming it keeps both uses of the exchange alike, so that it runs once.
+        df = counts.groupBy("term").agg(F.count("tf").alias("df"))
         q_weights = q_counts.join(df, "term").select(
             query_id,
             "term",

@@ -81,3 +81,26 @@ def test_weights_of_lone_rows_are_not_shuffled_and_those_of_one_id_are_added(tab
     idf = lambda w: math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5))
     assert tf[80, 2, "b"] == 2
     assert got == {(i, w, round(idf(w) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg)), 9)) for (i, dl, w), f in tf.items()}
+
+
+@pytest.mark.parametrize("terms", [1 << 20, 2])
+def test_only_terms_asked_for_are_written_and_dealt(spark, tables, monkeypatch, terms):
+    monkeypatch.setattr(sparse, "QUERY_TERMS", terms)
+    kept, write = {}, sparse.written
+    monkeypatch.setattr(sparse, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    queries = spark.createDataFrame([(1, "cat b"), (2, "b É none"), (3, None)], "query_id long, text string")
+    got = {}
+    for r in sorted(sparse.sparse_topk(queries, tables[1], 9).collect(), key=lambda r: (r["query_id"], r["sparse_rank"])):
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["sparse_score"], 7)))
+    assert got == brute(list(map(tuple, queries.collect())), list(map(tuple, tables[1].collect())), 9)
+    rows = kept["counted"].select("chunk_id", "term").collect()
+    # One row stands for each chunk, also of those without text, whose number and lengths count.
+    assert sum(r["term"] == "" for r in rows) == tables[1].count()
+    if terms > 2:
+        assert {r["term"] for r in rows} == {"", "cat", "b", "é"}
+
+
+def test_counts_are_dealt_once(tables):
+    out = sparse.sparse_topk(*tables, 9)
+    out.collect()
+    assert len(set(re.findall(r"Exchange hashpartitioning\(chunk_id#\d+L?, \d+\), REPARTITION_BY_NUM, \[plan_id=\d+\]", plan(out).split("Initial Plan")[0]))) == 1
