@@ -62,9 +62,10 @@ def rerank(
     # Written, so that the few chunks of the pool are sent to the texts and no text is shuffled to be left out.
     pool = written(pool.select(query_id, chunk_id, "fused_rank"), "pool")
     q = queries.select(query_id, F.col(query_text).alias("_query_text"))
-    c = chunks.select(chunk_id, F.col(text).alias("text"), *keep)
+    # As a predicate, the cut to the pool goes below the joins that ``chunks`` is made of; as a join it need not.
+    c = chunks.where(F.col(chunk_id).isin(pool.select(chunk_id).distinct())).select(chunk_id, F.col(text).alias("text"), *keep)
     scored = (
-        pool.join(c.join(pool.select(chunk_id).distinct(), chunk_id, "left_semi"), chunk_id)
+        pool.join(c, chunk_id)
         .join(q, query_id)
         .withColumn("score", score(F.col("_query_text"), F.col("text")))
     )

@@ -22,6 +22,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a chunk with its payload; vector, label and date are null where it has no vector."""
     docs = spread(spark, sf_dir, "documents", "doc_id")
     vectors = table(spark, sf_dir, "embeddings")
+    ids = vectors.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1").isEmpty():
+        # Changes no row, but tells the planner that the join adds none: where no vector is asked for, texts are not shuffled to meet it.
+        vectors = vectors.dropDuplicates(["vec_id"])
     return docs.join(vectors, docs.doc_id == vectors.vec_id, "left").select(
         F.col("doc_id").alias("chunk_id"),
         "text",
