@@ -62,3 +62,22 @@ def test_bitmaps_leave_out_pairs_that_cannot_share_enough_and_no_others(spark):
     assert pairs.where("shared > most").count() == 0
     far = pairs.where("shared < 0.3 * both").count()
     assert pairs.where("shared < 0.3 * both AND most < 0.4 * both").count() > 0.5 * far > 0
+
+
+def test_a_second_look_leaves_few_pairs_to_compare_and_no_floor_above_a_match(spark):
+    """Sets meet their near pairs only: few are compared that are not in the result, and none of the result is lost."""
+    urls = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    _, left, _, right = fuzzy.trigram_tables(*[urls.select(F.col("url").alias("value"))] * 2)
+    floors = fuzzy.second_look(left, right, fuzzy.first_look(left, right, 3, True), 0.4, 3, True).cache()
+    near = fuzzy.near_pairs(fuzzy._probes(left, floors, 0.4), right, 0.4)
+    assert near.columns == ["left_id", "right_id", "apart"]
+    assert fuzzy.similar_sets(left, right, floors, 0.4).count() < 6 * left.count()
+    assert near.select("left_id", "right_id").distinct().count() < 12 * left.count()
+    third = fuzzy.fuzzy_topk(urls, urls, probe="url", key="url", corpus_id="page_id", skip_equal=True).where("match_rank = 3")
+    both = floors.join(third, F.col("left_node") == F.col("url"))
+    assert both.count() > 2000 and both.where("floor > similarity + 1e-9").count() == 0
+
+
+def test_a_trigram_of_many_texts_is_dealt_into_several_keys(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "GRAM_ROWS", 16)
+    test_all_pairs(spark, 0.41, 3, True)
