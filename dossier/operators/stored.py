@@ -3,7 +3,7 @@
 Lexical: a first look at the levels of highest bounds gives each query a floor, the n-th best of
 partial scores. A level of a term is left out where its greatest weight, with the greatest of all
 other terms, stays below the floor. Lists of the other levels are dealt by block of chunks, so a
-task adds up the scores of its chunks and passes on those that reach the floor; no occurrence is
+task adds up the scores of its chunks and passes on a block's best that reach the floor; no occurrence is
 shuffled by itself, and ids and payload are met by what is left.
 
 Dense: the cosine with a member of a cell is at most cos(angle to the centre - radius). Cells are
@@ -106,17 +106,22 @@ def sparse_topk_stored(queries: DataFrame, index: ChunkIndex, n: int, *, filters
         held = met.join(index.blocks().select("block", "members").hint("shuffle_hash"), "block").select(*met.columns, *[member(f) for f in filters])
         return _passes(held.join(F.broadcast(asked.join(levels.select("query_id").distinct(), "query_id", "left_semi")), "query_id"), filters).select(*met.columns)
 
+    def first(met: DataFrame) -> DataFrame:
+        """A block's first ``n`` of each query, in its own task; places are in the order of ids. An id of several rows needs all of its scores."""
+        order = Window.partitionBy("query_id", "block").orderBy(F.round("score", SCORE_DIGITS).desc(), "place")
+        return met.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn") if once else met
+
     def every(levels: DataFrame, deal: int, name: str) -> DataFrame:
         blocks = max(1, -(-levels.count() // QUERY_TERMS))
         of_block = lambda i: levels.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else levels
-        return written(reduce(DataFrame.unionByName, [added(of_block(i), deal) for i in range(blocks)]), name)
+        return written(reduce(DataFrame.unionByName, [first(added(of_block(i), deal)) for i in range(blocks)]), name)
 
     falling = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
-    first = levels.withColumn("_before", F.coalesce(F.sum("n").over(falling), F.lit(0))).where(F.col("_before") < FIRST_LOOK * n)
-    first = written(first.select("query_id", *keys, "q_weight", F.lit(float("-inf")).alias("floor")), "first-look")
+    looked = levels.withColumn("_before", F.coalesce(F.sum("n").over(falling), F.lit(0))).where(F.col("_before") < FIRST_LOOK * n)
+    looked = written(looked.select("query_id", *keys, "q_weight", F.lit(float("-inf")).alias("floor")), "first-look")
     width = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # An id of several rows adds up their scores, which no level bounds: such an index is searched without a floor.
-    floor = _floor(every(first, width, "looked"), "score", n, ["block", "place"]).where(F.lit(once))
+    floor = _floor(every(looked, width, "looked"), "score", n, ["block", "place"]).where(F.lit(once))
     kept = written(needed_levels(levels, floor).select("query_id", *keys, "q_weight", "floor"), "levels")
 
     near = every(kept, max(width, -(-stats["n"] * asked.count() // PAIRS)), "near")

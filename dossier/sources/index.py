@@ -11,7 +11,7 @@ never cuts a chunk's text into terms again.
 - ``blocks``: (block, members): id and payload of each place of a block.
 - ``levels``: (part, term, level, top, n, df): greatest weight and number of occurrences of each level.
 - ``vectors``: (cell, chunk, vector, payload), partitioned by cell; ``cells``: centre, radius, count of each.
-- ``chunks``: text and payload, clustered by payload, so that a filter reads few row groups.
+- ``chunks``: text and payload, clustered by payload if there is any, so that a filter reads few row groups.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier import constants as K
+from dossier.functions.text import tokens
 from dossier.operators.dense import _unit_rows
 from dossier.operators.sparse import _counted, _document_weight
-from dossier.session import written
 
-PARTS, LEVELS_PER_UNIT = 64, 16
-# Chunks of a block, blocks that one task turns into postings, and blocks whose postings of a part share a file.
-BLOCK_ROWS, TASK_BLOCKS, FILE_BLOCKS = 4096, 8, 256
+PARTS, LEVELS_PER_UNIT = 16, 16
+# Chunks of a block, and blocks that one task turns into postings, with a file for each part.
+BLOCK_ROWS, TASK_BLOCKS = 4096, 8
 # Vectors are gathered around at most CELLS of their own number; their centres fit a task's memory.
 CELLS, BATCH = 64, 4096
 NO_DIRECTION = -1
@@ -87,21 +87,23 @@ class ChunkIndex:
         """Replaces the whole index by these chunks. Chunks without text or vector are found by the other list alone."""
         texts = F.col(text) if text else F.lit(None).cast("string")
         rows = chunks.select(F.col(chunk_id).alias("chunk_id"), texts.alias("text"), *payload)
-        clustered = rows.repartitionByRange(_ranges(rows), *payload, "chunk_id").sortWithinPartitions(*payload, "chunk_id")
-        clustered.write.mode("overwrite").parquet(f"{self.folder}/chunks")
+        if payload:
+            rows = rows.repartitionByRange(_ranges(rows), *payload, "chunk_id").sortWithinPartitions(*payload, "chunk_id")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/chunks")
         self._write_postings(self.chunks(), payload, k1, b)
         if vector:
             self._write_vectors(chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("vector"), *payload), cells)
         return self
 
     def _write_postings(self, chunks: DataFrame, payload: Sequence[str], k1: float, b: float) -> None:
-        counted = written(_counted(chunks, "chunk_id", "text", payload), "counted")
-        counts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).first()
+        # The texts are cut into terms twice, which writes and shuffles less than their counts would.
+        lengths = chunks.select(F.size(tokens("text")).alias("dl"))
+        counts = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).first()
         blocks = max(1, -(-counts["n"] // BLOCK_ROWS))
-        tasks = max(_ranges(counted), -(-blocks // TASK_BLOCKS))
+        tasks = max(_ranges(chunks), -(-blocks // TASK_BLOCKS))
         # Rows of one id and payload have one place: their occurrences are added.
         place = F.dense_rank().over(Window.partitionBy("block").orderBy("chunk_id", *payload)) - 1
-        dealt = counted.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
+        dealt = chunks.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).repartitionByRange(tasks, "block")
         placed = dealt.withColumn("place", place)
 
         member = F.struct("place", "chunk_id", *payload)
@@ -112,16 +114,15 @@ class ChunkIndex:
         stats = [(counts["n"], counts["avg_dl"], k1, b, held["rows"] != held["ids"])]
         self.spark.createDataFrame(stats, "n long, avg_dl double, k1 double, b double, repeated boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats")
 
-        flat = placed.select("block", "place", "dl", F.inline("terms"))
+        flat = _counted(placed, "place", "text", ["block"]).select("block", "place", "dl", F.inline("terms"))
         if held["rows"] != held["places"]:
             flat = flat.groupBy("block", "place", "dl", "term").agg(F.sum("tf").alias("tf"))
         weight = _document_weight(F.lit(counts["avg_dl"]).cast("double"), k1, b)
         rows = flat.select("block", "place", "term", weight.alias("weight")).withColumn("level", F.floor(F.col("weight") * LEVELS_PER_UNIT).cast("int"))
-        # Both lists get the same occurrences in the same order; the tasks hold whole blocks, so nothing is shuffled by occurrence.
+        # Both lists get the same occurrences in the same order; the tasks hold whole blocks, so neither occurrences nor lists are shuffled.
         lists = rows.groupBy("block", "term", "level").agg(F.collect_list("place").alias("places"), F.collect_list("weight").alias("weights"))
-        lists = lists.withColumns({"part": term_part("term"), "_file": F.floor(F.col("block") / FILE_BLOCKS)})
-        lists.repartition(tasks, "part", "_file").drop("_file").sortWithinPartitions("part", "term", "level").write.mode("overwrite").partitionBy("part").parquet(
-            f"{self.folder}/postings")
+        lists = lists.withColumn("part", term_part("term")).sortWithinPartitions("part", "term", "level")
+        lists.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings")
         steps = self.postings().groupBy("part", "term", "level").agg(F.max(F.array_max("weights")).alias("top"), F.sum(F.size("places")).alias("n"))
         steps = steps.withColumn("df", F.sum("n").over(Window.partitionBy("part", "term")))
         steps.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/levels")

@@ -130,3 +130,20 @@ def test_lists_hold_a_block_of_chunks_and_rows_of_one_id_are_added(spark, asked,
     assert lists.where("term = 'the'").count() <= 64 < lists.where("term = 'the'").select(F.sum(F.size("places"))).first()[0]
     for filters in ([], ["doc_type"]):
         assert sorted(sparse_topk_stored(asked, index, 7, filters=filters).collect()) == sorted(sparse_topk(asked, twice, 7, filters=filters).collect())
+
+
+@pytest.mark.parametrize("filters", [[], ["doc_type"]])
+def test_a_block_passes_on_its_best_only_and_its_lists_are_made_in_one_task(spark, asked, chunks, tmp_path, monkeypatch, filters):
+    """Several blocks give the rows of a full search, ties included, and no task writes all pairs of its chunks and the queries."""
+    from dossier.operators import stored
+    from dossier.sources import index as store
+
+    monkeypatch.setattr(store, "BLOCK_ROWS", 256)
+    counts, real = {}, stored.written
+    monkeypatch.setattr(stored, "written", lambda df, name: counts.setdefault(name, real(df, name)))
+    tied = chunks.where("chunk_id % 3 > 0").unionByName(chunks.where("chunk_id % 3 = 0").withColumn("text", F.lit("the w1 w2")))
+    index = ChunkIndex(spark, str(tmp_path / "blocks")).write(tied, payload=filters, vector=None)
+    lists, blocks = index.postings(), index.blocks().count()
+    assert blocks == 6 and lists.groupBy("block", "term", "level").count().where("count > 1").count() == 0
+    assert sorted(sparse_topk_stored(asked, index, 7, filters=filters).collect()) == sorted(sparse_topk(asked, tied, 7, filters=filters).collect())
+    assert 0 < counts["near"].count() <= 7 * blocks * asked.count()
